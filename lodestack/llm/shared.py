@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are separated by exactly these characters, as bytes.split() does.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,8 +48,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def append_columns(df: DataFrame, fields: dict[str, str], fn: Callable[[list[str | None]], dict[str, pa.Array]], text: str = "text") -> DataFrame:
+    """df with columns that fn makes of its texts, batch by batch; columns of df with these names are replaced."""
+    base = df.drop(*fields)
+    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in fields.items())).fields])
+    at, names = base.columns.index(text), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = fn(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(made[c] for c in fields)], names=names)
+
+    return base.mapInArrow(run, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
