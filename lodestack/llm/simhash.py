@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.shared import as_bytes, materialise, partitions
+from lodestack.llm.shared import append_columns, as_bytes, materialise, partitions
 
 LEAF = 8192
 GROUP = 16
@@ -34,6 +34,8 @@ GROUP = 16
 SEQ_BITS = 12
 #: Index leaves are broadcast up to this number of fingerprints (8 bytes each: 32 MB), else joined by a shuffle.
 BROADCAST_FINGERPRINTS = 4_000_000
+#: Rows that stay are broadcast up to this number (16 bytes each before hashing), else joined by a shuffle.
+BROADCAST_KEEPERS = 2_000_000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -219,13 +221,40 @@ def links(distinct: DataFrame, n: int, most_bits: int = 3, leaf: int = LEAF) ->
     )
 
 
+def classes(distinct: DataFrame, most_bits: int = 3, leaf: int = LEAF) -> DataFrame:
+    """fp and label of distinct fingerprints (a written table with column fp); one label for all that links reach."""
+    found = connected_components(links(distinct, distinct.count(), most_bits, leaf)).select(F.col("node").alias("fp"), "label")
+    return distinct.join(found, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(df: DataFrame, shingle: int = 3, most_bits: int = 3, leaf: int = LEAF) -> DataFrame:
     """One row per row of df: doc_id, fp and component_id, the smallest doc_id that links reach."""
     fps = materialise(fingerprints(df, shingle), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("_low")), "distinct")
-    found = connected_components(links(distinct, distinct.count(), most_bits, leaf))
-    found = found.select(F.col("node").alias("fp"), F.col("label").alias("_label"))
-    labelled = distinct.join(found, "fp", "left").select("fp", "_low", F.coalesce("_label", "fp").alias("_label"))
-    lowest = labelled.groupBy("_label").agg(F.min("_low").alias("component_id"))
-    classes = labelled.join(lowest, "_label").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    labelled = classes(distinct, most_bits, leaf)
+    lowest = labelled.groupBy("label").agg(F.min("_low").alias("component_id"))
+    return fps.join(labelled.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def survivors(df: DataFrame, shingle: int = 3, most_bits: int = 3, leaf: int = LEAF) -> DataFrame:
+    """df with one row of each component: the smallest doc_id, then the smallest row hash.
+
+    Only ids, hashes and fingerprints are shuffled. The rows that stay are found by a semi join,
+    whose keys are broadcast up to BROADCAST_KEEPERS of them.
+    """
+    row = F.xxhash64(*df.columns).alias("_row")
+    keyed = df.select("*", row)
+    texts = df.select("doc_id", "text", row)
+    fps = append_columns(texts, {"fp": "long"}, lambda some: {"fp": pa.array(np.array([fingerprint(t.encode() if t else b"", shingle) for t in some], np.uint64).view(np.int64))})
+    fps = materialise(fps.select("doc_id", "_row", "fp"), "fingerprints")
+    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    first = F.min(F.struct("doc_id", "_row")).alias("_first")
+    keepers = fps.groupBy("fp").agg(first).join(classes(distinct, most_bits, leaf), "fp").groupBy("label").agg(F.min("_first").alias("_first"))
+    keepers = materialise(keepers.select(F.col("_first.doc_id").alias("_id"), F.col("_first._row").alias("_key")), "keepers")
+    n = keepers.count()
+    some = F.broadcast(keepers) if n <= BROADCAST_KEEPERS else keepers
+    same = lambda d: (d["_row"] == some["_key"]) & d["doc_id"].eqNullSafe(some["_id"])
+    kept = keyed.join(some, same(keyed), "left_semi")
+    if fps.join(some, same(fps), "left_semi").count() > n:  # whole rows repeat
+        kept = kept.dropDuplicates(["doc_id", "_row"])
+    return kept.drop("_row")
