@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +36,18 @@ BROADCAST_ROWS = 500_000
 #: In a text of these characters alone, canonical composition changes nothing and white space is plain.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
 #: A worker forgets its words beyond this number.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: The split of this kind of vocabulary, for text without white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never merges across it.
 
-    A run of characters between white space always has the same ids, so each is encoded once and
-    kept as packed little-endian 32-bit ids. Texts with unusual characters go to the library whole.
+    A run of characters between white space always has the same ids, so each is kept as packed
+    little-endian 32-bit ids. A new run is lowered and split as the tokenizer does it, and its parts
+    go to the tokenizer's own merges, without the library's bookkeeping of offsets. Runs that may
+    hold special strings and texts with unusual characters go through the library as a whole.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -50,7 +56,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.merge = self.tok.model.tokenize
+        self.find = regex.compile(SPLIT).findall
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        odd = [b for b in range(256) if b not in set(plain)]
+        self.bytes = {b: 256 + k for k, b in enumerate(odd)}
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,16 +70,39 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _ids(self, run: str) -> list[int]:
+        if "<|" in run:
+            return self.tok.encode(run, add_special_tokens=False).ids
+        low, parts = run.lower(), self.parts
+        if low.isascii() and low.isalpha():
+            found = [low]
+        else:
+            found = self.find(low)
+        out: list[int] = []
+        for part in found:
+            ids = parts.get(part)
+            if ids is None:
+                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
+                ids = parts[part] = [t.id for t in self.merge(mapped)]
+            out += ids
+        return out
+
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, known = text.split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True))
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            pass
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        for w in words:
+            if w not in known:
+                ids = self._ids(w)
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
 
