@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 #: In a text of these characters alone, canonical composition changes nothing and white space is plain.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
 #: A worker forgets its words beyond this number.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: The split of this kind of vocabulary, for text without white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -62,7 +62,7 @@ class WordEncoder:
         odd = [b for b in range(256) if b not in set(plain)]
         self.bytes = {b: 256 + k for k, b in enumerate(odd)}
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -70,22 +70,22 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, run: str) -> list[int]:
+    def _ids(self, run: str) -> bytes:
         if "<|" in run:
-            return self.tok.encode(run, add_special_tokens=False).ids
+            return self._packed(self.tok.encode(run, add_special_tokens=False).ids)
         low, parts = run.lower(), self.parts
-        if low.isascii() and low.isalpha():
-            found = [low]
-        else:
-            found = self.find(low)
-        out: list[int] = []
-        for part in found:
+        out = []
+        for part in [low] if low.isascii() and low.isalpha() else self.find(low):
             ids = parts.get(part)
             if ids is None:
                 mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
-                ids = parts[part] = [t.id for t in self.merge(mapped)]
-            out += ids
-        return out
+                ids = parts[part] = self._packed([t.id for t in self.merge(mapped)])
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
@@ -101,8 +101,7 @@ class WordEncoder:
             self.parts.clear()
         for w in words:
             if w not in known:
-                ids = self._ids(w)
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+                known[w] = self._ids(w)
         return b"".join(map(known.__getitem__, words))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a batch that are Python objects at one time.
+ROWS = 1000
 #: Words are separated by exactly these characters, as bytes.split() does.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,8 +58,10 @@ def append_columns(df: DataFrame, fields: dict[str, str], fn: Callable[[list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(made[c] for c in fields)], names=names)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                made = fn(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(made[c] for c in fields)], names=names)
 
     return base.mapInArrow(run, schema)
 

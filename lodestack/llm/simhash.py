@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.shared import append_columns, as_bytes, materialise, partitions
+from lodestack.llm.shared import ROWS, append_columns, as_bytes, materialise, partitions
 
 LEAF = 8192
 GROUP = 16
@@ -64,8 +64,10 @@ def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))})
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                found = np.array([fingerprint(t, shingle) for t in as_bytes(part.column(1))], np.uint64)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "fp": pa.array(found.view(np.int64))})
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
