@@ -35,7 +35,7 @@ SEQ_BITS = 12
 #: Index leaves are broadcast up to this number of fingerprints (8 bytes each: 32 MB), else joined by a shuffle.
 BROADCAST_FINGERPRINTS = 4_000_000
 #: Rows that stay are broadcast up to this number (16 bytes each before hashing), else joined by a shuffle.
-BROADCAST_KEEPERS = 2_000_000
+BROADCAST_KEEPERS = 500_000
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
