@@ -1,7 +1,8 @@
 """Traversal level by level: what a queue with depth, duplicate and budget limits lets through.
 
-The order of a level is (depth, seq); the first of equal canonical urls wins. Limits are decided
-by hash-bucketed ranks and one running sum over buckets, so no task orders a whole level by itself.
+The order of a level is (depth, seq); the first of equal canonical urls wins, by a window per url.
+Where a level has more new urls than the budget allows, the last one that fits is found by a
+top-k of the budget's size; a level within its budget is not ordered at all.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql.window import Window
 
 from lodestack.functions.urls import canonical_url, same_site
 
+#: Budgets beyond this are compared with the level's count before anything is ordered.
+TOP_ROOM = 1_000_000
+
 
 @dataclass
 class FrontierStats:
@@ -30,7 +34,7 @@ class FrontierStats:
         return FrontierStats(**sums, max_depth_reached=max(self.max_depth_reached, other.max_depth_reached))
 
 
-def admit(candidates: DataFrame, seen: DataFrame, max_depth: int = 2, room: int = 1000, ranges: int = 64) -> DataFrame:
+def admit(candidates: DataFrame, seen: DataFrame, max_depth: int = 2, room: int = 1000) -> DataFrame:
     """candidates (url, depth, seq, ...) with canon and verdict: queued, too_deep, over_budget or duplicate.
 
     Checks apply in that order of a sequential queue: depth, then budget, then duplicates. A url
@@ -42,10 +46,11 @@ def admit(candidates: DataFrame, seen: DataFrame, max_depth: int = 2, room: int
     df = df.join(seen.select("canon").distinct().withColumn("_seen", F.lit(True)), "canon", "left")
     first = Window.partitionBy("canon", deep).orderBy("depth", "seq")
     df = df.withColumn("_fresh", ~deep & F.col("_seen").isNull() & (F.row_number().over(first) == 1))
-    last = df.where("_fresh").orderBy("depth", "seq").limit(max(room, 1)).agg(F.max(F.struct("depth", "seq")).alias("_last"), F.count("*").alias("_n"))
-    df = df.crossJoin(F.broadcast(last))  # one row
-    at = F.struct("depth", "seq")
-    full = (F.lit(room) <= 0) | ((F.col("_n") >= room) & (at > F.col("_last")))
+    full = F.lit(room <= 0)
+    if 0 < room <= TOP_ROOM or (room > TOP_ROOM and df.where("_fresh").count() > room):
+        last = df.where("_fresh").orderBy("depth", "seq").limit(room).agg(F.max(F.struct("depth", "seq")).alias("_last"), F.count("*").alias("_n"))
+        df = df.crossJoin(F.broadcast(last))  # one row
+        full = (F.col("_n") >= room) & (F.struct("depth", "seq") > F.col("_last"))
     verdict = F.when(deep, "too_deep").when(full, "over_budget").when(F.col("_fresh"), "queued").otherwise("duplicate")
     return df.withColumn("verdict", verdict).drop("_seen", "_fresh", "_last", "_n")
 

@@ -33,7 +33,7 @@ def available() -> list[str]:
     return sorted(_FACTORIES)
 
 
-def get_adapter(name: str, **settings):
+def get_adapter(name: str, /, **settings):
     if name not in _FACTORIES:
         raise ConfigError(f"no adapter {name!r}; there are {', '.join(available())}")
     return _FACTORIES[name](**settings)
