@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs. All but the last return the columns of documents; further columns travel
+along unchanged, whatever their names. What a stage does with nulls, empty and very long texts,
+ties, repeated rows and empty tables is what its operator does: a document without letters goes in
+the first stage, one of fewer than ten words in the second, repeated rows leave one in the third.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestack.llm import language_id as languages
 from lodestack.llm import mixing, packing, simhash
 from lodestack.llm import quality_rules as rules
-from lodestack.llm.shared import materialise
+from lodestack.llm.shared import materialise, shield
 
 #: Documents without letters are rejected; so are those that no class fits better than this.
 LEAST_LANGUAGE_SCORE = 0.26
@@ -22,13 +25,15 @@ LEAST_LANGUAGE_SCORE = 0.26
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from the labelled rows, drop what has none, and fill in missing labels."""
     model = languages.fit(docs, F.col("lang").isNotNull())
-    found = languages.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own, restore = shield(docs, "lang_pred", "score")
+    found = languages.identify(own, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return restore(found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the second policy rejects."""
-    return rules.apply_policy(rules.ledger(docs), "v2").where("kept").select(*docs.columns)
+    own, restore = shield(docs, *rules.MEASURES, "failed", "base_failed", "kept")
+    return restore(rules.apply_policy(rules.ledger(own), "v2").where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin out documents so that sources weigh as the square root of their size."""
-    return mixing.replicate(docs, temperature=0.5).select(*docs.columns)
+    own, restore = shield(docs, *mixing.ADDED)
+    return restore(mixing.replicate(own, temperature=0.5))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

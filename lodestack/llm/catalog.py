@@ -83,5 +83,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql=mixing.SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    mixed = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), F.col("copies").cast("int").alias("copies"), F.round("rate", 6).alias("rate"), "shuffle_key")

@@ -72,11 +72,12 @@ def replicate(df: DataFrame, weights: Mapping[str, float] | None = None, tempera
     table = _thresholds(rates(df.select("source"), weights, temperature, size)).withColumnRenamed("source", "_source")
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    drawn = df.join(table, df["source"].eqNullSafe(table["_source"])).withColumn("_u", _unit(F.concat(F.lit(f"{seed}:"), _id_text(key))))
+    rows = df.select(F.col("source").alias("_from"), _id_text(key).alias("_id"), F.struct(*df.columns).alias("_all"))
+    drawn = rows.join(table, F.col("_from").eqNullSafe(F.col("_source"))).withColumn("_u", _unit(F.concat(F.lit(f"{seed}:"), F.col("_id"))))
     drawn = drawn.withColumn("copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("copies > 0")
-    each = drawn.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies", "rate")
-    each = each.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), _id_text(key), F.lit(":"), F.col("copy").cast("string"))))
-    return each.repartition(partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    each = drawn.select("_all", "_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies", "rate")
+    each = each.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_id"), F.lit(":"), F.col("copy").cast("string"))))
+    return each.repartition(partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key").select("_all.*", "copy", "copies", "rate", "shuffle_key")
 
 
 #: Rows of replicate() with its defaults over documents.

@@ -11,8 +11,8 @@ sub-shards, so no task holds a whole shard.
 Every order is a hash of the key with a seed, so a lost task that runs again gives the same rows.
 
 Edge cases: repeated rows each get a slot of their own; ids and texts may be null; all columns of
-the input travel along; an empty table gives an empty result. Columns of the input must not be
-called shard or slot.
+the input travel along, whatever their names, but those called shard or slot are replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,23 +83,24 @@ def _order(seed: int, step: int, *columns: Column) -> Column:
 def shuffle_into_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, seed: int = 20240501) -> DataFrame:
     """df with shard (int) and slot (long, gapless from 0 within its shard)."""
     spark = df.sparkSession
+    df = df.drop("shard", "slot")
     buckets = partitions(spark)
     subs = max(1, -(-2 * buckets // shards))
-    bucket = F.pmod(_order(seed, 0, F.col(key)), F.lit(buckets)).cast("int")
-    counted = {r["_bucket"]: r["count"] for r in df.groupBy(bucket.alias("_bucket")).count().collect()}  # a row per bucket
+    rows = df.select(F.col(key).alias("_key"), F.hash(*df.columns).alias("_tie"), F.struct(*df.columns).alias("_all"))
+    bucket = F.pmod(_order(seed, 0, F.col("_key")), F.lit(buckets)).cast("int")
+    counted = {r["_bucket"]: r["count"] for r in rows.groupBy(bucket.alias("_bucket")).count().collect()}  # a row per bucket
     ends = communication_matrix([counted.get(b, 0) for b in range(buckets)], shards, seed).cumsum(axis=1)
     matrix = F.broadcast(spark.createDataFrame([(b, ends[b].tolist()) for b in range(buckets)], "_bucket int, _ends array<long>"))
-    others = [F.hash(c) for c in df.columns if c != key]
 
-    def dealt(rows: DataFrame, ties: list[Column]) -> DataFrame:
-        local = Window.partitionBy("_bucket").orderBy(_order(seed, 1, F.col(key)), key, *ties)
-        ranked = rows.withColumn("_bucket", bucket).withColumn("_rank", F.row_number().over(local)).join(matrix, "_bucket")
-        return ranked.select(*rows.columns, F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).alias("shard"), F.pmod(_order(seed, 2, F.col(key)), F.lit(subs)).cast("int").alias("_sub"))
+    def dealt(some: DataFrame, *ties: str) -> DataFrame:
+        local = Window.partitionBy("_bucket").orderBy(_order(seed, 1, F.col("_key")), "_key", *ties)
+        ranked = some.withColumn("_bucket", bucket).withColumn("_rank", F.row_number().over(local)).join(matrix, "_bucket")
+        return ranked.select(*some.columns, F.size(F.filter("_ends", lambda e: e < F.col("_rank"))).alias("shard"), F.pmod(_order(seed, 2, F.col("_key")), F.lit(subs)).cast("int").alias("_sub"))
 
     # Rows that tie have one key, so the narrow pass counts the same whichever of them comes first.
     below = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt(df.select(key), []).groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
+    sizes = dealt(rows.select("_key")).groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
     starts = sizes.select("shard", "_sub", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_sub").orderBy(_order(seed, 3, F.col(key)), key, *others)
-    placed = dealt(df, others).withColumn("_row", F.row_number().over(within)).join(starts, ["shard", "_sub"])
-    return placed.select(*df.columns, "shard", (F.col("_before") + F.col("_row") - 1).alias("slot"))
+    within = Window.partitionBy("shard", "_sub").orderBy(_order(seed, 3, F.col("_key")), "_key", "_tie")
+    placed = dealt(rows, "_tie").withColumn("_row", F.row_number().over(within)).join(starts, ["shard", "_sub"])
+    return placed.select("_all.*", "shard", (F.col("_before") + F.col("_row") - 1).alias("slot"))

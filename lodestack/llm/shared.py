@@ -75,3 +75,9 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit(""))) % n
+
+
+def shield(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names renamed, and what gives a result df's columns back, as they were."""
+    taken = {c: f"_own_{k}_{c}" for k, c in enumerate(df.columns) if c.lower() in {n.lower() for n in names}}
+    return df.withColumnsRenamed(taken), lambda out: out.select(*[F.col(taken.get(c, c)).alias(c) for c in df.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.shared import ROWS, append_columns, as_bytes, materialise, partitions
+from lodestack.llm.shared import ROWS, append_columns, as_bytes, materialise, partitions, shield
 
 LEAF = 8192
 GROUP = 16
@@ -244,9 +244,10 @@ def survivors(df: DataFrame, shingle: int = 3, most_bits: int = 3, leaf: int = L
     Only ids, hashes and fingerprints are shuffled. The rows that stay are found by a semi join,
     whose keys are broadcast up to BROADCAST_KEEPERS of them.
     """
-    row = F.xxhash64(*df.columns).alias("_row")
-    keyed = df.select("*", row)
-    texts = df.select("doc_id", "text", row)
+    own, restore = shield(df, "_row", "_id", "_key")
+    row = F.xxhash64(*own.columns).alias("_row")
+    keyed = own.select("*", row)
+    texts = own.select("doc_id", "text", row)
     fps = append_columns(texts, {"fp": "long"}, lambda some: {"fp": pa.array(np.array([fingerprint(t.encode() if t else b"", shingle) for t in some], np.uint64).view(np.int64))})
     fps = materialise(fps.select("doc_id", "_row", "fp"), "fingerprints")
     distinct = materialise(fps.select("fp").distinct(), "distinct")
@@ -259,4 +260,4 @@ def survivors(df: DataFrame, shingle: int = 3, most_bits: int = 3, leaf: int = L
     kept = keyed.join(some, same(keyed), "left_semi")
     if fps.join(some, same(fps), "left_semi").count() > n:  # whole rows repeat
         kept = kept.dropDuplicates(["doc_id", "_row"])
-    return kept.drop("_row")
+    return restore(kept)

@@ -40,6 +40,12 @@ def test_join_without_broadcast(spark, sf, monkeypatch):
     assert sorted(tuple(r) for r in M.replicate(docs).collect()) == want
 
 
+def test_clashing_columns_travel_along(spark):
+    df = spark.createDataFrame([(k, "a", "u", "v") for k in range(60)], "doc_id long, source string, _all string, _id string")
+    rows = M.replicate(df).collect()
+    assert {(r._all, r._id) for r in rows} == {("u", "v")} and len(rows) > 30
+
+
 def test_large_rates_and_empty(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     n = M.replicate(df, size=2000).count()

@@ -58,10 +58,11 @@ def test_stages_against_brute_force(spark, sf):
 def test_odd_rows_and_extra_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     odd = [(None, None, None, None, None), (-1, "", "en", None, 0), (-2, "123 456", None, "a", 7), (-3, docs.first().text, None, "b", 1), (-3, docs.first().text, None, "b", 1), (None, "the of and to a in is it that was " * 3, "en", None, None)]
-    df = docs.union(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'x' as score", "1 as kept", "2 as fp", "'c' as copy", "3 as length")
+    df = docs.union(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "'x' as score", "1 as kept", "2 as fp", "'c' as copy", "3 as length", "4 as _row", "'u' as _all", "5 as lang_pred")
+    extra = {"score": "x", "kept": 1, "fp": 2, "copy": "c", "length": 3, "_row": 4, "_all": "u", "lang_pred": 5}
     for _, stage in C.STAGES[:-1]:
         before, df = df.columns, C.materialise(stage(spark, df, sf), "odd")
-        assert df.columns == before
+        assert df.columns == before and all({c: r[c] for c in extra} == extra for r in df.collect())
     assert not {r.doc_id for r in df.collect()} & {-1, -2}
     assert C.pack(spark, df, sf).count() > 0
 

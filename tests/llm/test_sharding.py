@@ -18,10 +18,10 @@ def check(rows, shards=16):
 
 def test_sizes_slots_and_columns(spark):
     rows = [(i if i % 50 else None, f"t{i % 7}", None) for i in range(1003)] + [(5, "same", None)] * 40
-    df = spark.createDataFrame(rows, "doc_id long, text string, _rank string")
+    df = spark.createDataFrame([(*r, "own", "x", "y") for r in rows], "doc_id long, text string, n string, _rank string, slot string, _all string")
     got = S.shuffle_into_shards(df, "doc_id").collect()
     check(got)
-    assert Counter((r.doc_id, r.text) for r in got) == Counter((a, b) for a, b, _ in rows)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((a, b) for a, b, _ in rows) and {(r._rank, r._all) for r in got} == {("own", "y")}
 
 
 def test_same_result_for_another_layout(spark):
