@@ -1,4 +1,4 @@
-"""Command line: crawl recorded sources, re-parse, and look at results."""
+"""Command line: crawl recorded or live boards, re-parse, and look at results."""
 
 from __future__ import annotations
 
@@ -50,7 +50,8 @@ def main(argv: list[str] | None = None, spark=None, out=print) -> int:
     from lodestack.operators import rollups
     from lodestack.plans.pipeline import Store, crawl, reparse
     from lodestack.session import local_session
-    from lodestack.sources import adapters, recorded
+    from lodestack.sources import adapters, http, recorded
+    from lodestack.sources.board_config import BoardConfig
 
     if args.verb == "adapters":
         out("\n".join(adapters.available()))
@@ -60,12 +61,14 @@ def main(argv: list[str] | None = None, spark=None, out=print) -> int:
     store = Store(spark, args.store)
     try:
         if args.verb in ("crawl", "reparse"):
-            if args.bundle.endswith((".yml", ".yaml")):
-                out("live crawls need --allow-network" if not args.allow_network else "this build has no network transport; record the board first")
+            live = args.bundle.endswith((".yml", ".yaml"))
+            if live and args.verb == "crawl" and not args.allow_network:
+                out("live crawls need --allow-network")
                 return USAGE
-            adapter = adapters.get_adapter("fixture", spark=spark, root=args.bundle)
+            adapter = adapters.get_adapter("htmlboard", config=BoardConfig.from_yaml(args.bundle)) if live else adapters.get_adapter("fixture", spark=spark, root=args.bundle)
             if args.verb == "crawl":
-                result = crawl(store, adapter, lambda f: recorded.answer(f, adapter.recorded()), now, max_pages=args.max_pages)
+                fetch = http.fetch if live else lambda f: recorded.answer(f, adapter.recorded())
+                result = crawl(store, adapter, fetch, now, max_pages=args.max_pages)
             else:
                 result = reparse(store, adapter, now)
             out(result.summary())

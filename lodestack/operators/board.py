@@ -17,7 +17,7 @@ from lodestack.functions.urls import join_url
 from lodestack.schemas import ITEM_COLUMNS, RECORD
 from lodestack.sources.board_config import BoardConfig
 
-LIST_RESULT = f"struct<details:array<struct<url:string,seed:{RECORD}>>,next:string>"
+PAGE_RESULT = f"struct<details:array<struct<url:string,seed:{RECORD}>>,next:string,record:{RECORD},error:string>"
 _SCRIPTS = re.compile(r"<(script|style)\b.*?</\1>", re.I | re.S)
 
 
@@ -73,20 +73,28 @@ def detail_page(markup: str | None, config: BoardConfig) -> dict:
     return found
 
 
-def parse_list(markup: Column, base: Column, config: BoardConfig) -> Column:
-    @F.pandas_udf(LIST_RESULT)
-    def run(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([list_page(p, b, config) for p, b in zip(pages, bases, strict=True)], columns=["details", "next"])
+def parse_page(kind: str, markup: str | None, base: str | None, config: BoardConfig) -> dict:
+    """PAGE_RESULT of a page; whatever a page makes the parser raise is its error and nobody else's."""
+    out: dict = {"details": [], "next": None, "record": {"fields": {}, "lists": {}}, "error": None}
+    try:
+        if kind == "list":
+            out |= list_page(markup, base, config)
+        elif kind == "detail":
+            out["record"] = detail_page(markup, config)
+    except Exception as e:  # noqa: BLE001
+        out["error"] = f"{type(e).__name__}: {e}"
+    return out
 
-    return run(markup, base)
 
+def parse_pages(kind: Column, markup: Column, base: Column, config: BoardConfig) -> Column:
+    """PAGE_RESULT of index pages (kind list) and detail pages (kind detail); other kinds hold nothing."""
 
-def parse_detail(markup: Column, config: BoardConfig) -> Column:
-    @F.pandas_udf(RECORD)
-    def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([detail_page(p, config) for p in pages], columns=["fields", "lists"])
+    @F.pandas_udf(PAGE_RESULT)
+    def run(kinds: pd.Series, pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        rows = [parse_page(k, p, b, config) for k, p, b in zip(kinds, pages, bases, strict=True)]
+        return pd.DataFrame(rows, columns=["details", "next", "record", "error"], dtype=object)
 
-    return run(markup)
+    return run(kind, markup, base)
 
 
 def overlay(seed: Column, over: Column) -> Column:
@@ -145,11 +153,7 @@ def build_items(records: DataFrame, config: BoardConfig) -> DataFrame:
     ).select(*ITEM_COLUMNS)
 
 
-def details_of(pages: DataFrame, config: BoardConfig, seeds: DataFrame | None = None) -> DataFrame:
-    """Records (url, fields, lists) of detail pages (url, text), laid over what lists said (url, seed)."""
-    found = pages.select("url", parse_detail(F.col("text"), config).alias("r"))
-    if seeds is not None:
-        found = found.join(seeds.select("url", "seed"), "url", "left")
-    else:
-        found = found.withColumn("seed", F.lit(None).cast(RECORD))
-    return found.select("url", overlay(F.col("seed.fields"), F.col("r.fields")).alias("fields"), overlay_lists(F.col("seed.lists"), F.col("r.lists")).alias("lists"))
+def details_of(pages: DataFrame, config: BoardConfig) -> DataFrame:
+    """Records (url, fields, lists) of detail pages (url, text) that no list told of."""
+    found = pages.select("url", parse_pages(F.lit("detail"), F.col("text"), F.col("url"), config)["record"].alias("r"))
+    return found.select("url", "r.fields", "r.lists")

@@ -125,7 +125,7 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
     """Traverse a source level by level, archive its pages, merge its items, flag what is gone.
 
     fetch answers follow-ups with status_code and text beside their own columns. A page that does
-    not answer 2xx is a failure and the run goes on.
+    not answer 2xx, or that the parser fails on, is a failure and the run goes on.
     """
     settings = settings or Settings()
     budget, began = max_pages or settings.max_pages, time.monotonic()
@@ -161,9 +161,13 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
                 rows = archive.build_pages(ok.withColumn("headers", F.create_map().cast("map<string,string>")) if "headers" not in ok.columns else ok)
                 rows = rows.join(ok.select("url", F.to_json(F.struct(*carried)).alias("meta")), "url", "left")
                 store.add("raw_pages", archive.archive_rows(rows, adapter.name, settings.snapshot_max_bytes))
-            own = store.scratch(adapter.items(ok), f"items-{depth}")
+            read = store.scratch(adapter.parsed(ok), f"parsed-{depth}")
+            broken = read.where("error is not null").select("url", "error")
+            result.failures += broken.count()
+            failures = failures.unionByName(broken)
+            own = store.scratch(adapter.items(read), f"items-{depth}")
             items = own if items is None else items.unionByName(own)
-            level = adapter.follows(ok)
+            level = adapter.follows(read)
         if items is not None:
             result.items_seen = items.count()
             any_seen = result.items_seen > 0
@@ -195,9 +199,9 @@ def reparse(store: Store, adapter, as_of: datetime, limit: int = 1000, first_onl
     newest = archive.latest(own).join(archive.urls(own, limit=limit).select("url"), "url", "left_semi")
     schema = adapter.FOLLOW.replace("url string, ", "", 1).replace("kind string, ", "", 1)
     pages = archive.replayed(newest).withColumn("_f", F.from_json("meta", schema)).select("url", "kind", "status_code", "text", "_f.*")
-    pages = store.scratch(pages, "replayed")
-    result.pages_fetched = pages.count()
-    items = store.scratch(adapter.items(pages), "items")
+    read = store.scratch(adapter.parsed(pages), "replayed")
+    result.pages_fetched, result.failures = read.count(), read.where("error is not null").count()
+    items = store.scratch(adapter.items(read), "items")
     if first_only:
         items = items.groupBy("source", "url").agg(F.min_by(F.struct(*[c for c in items.columns if c not in ("source", "url")]), "external_id").alias("_r")).select("source", "url", "_r.*").select(*items.columns)
     result.items_seen = items.count()

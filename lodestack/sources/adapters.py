@@ -1,7 +1,7 @@
 """Sources by name. An adapter says where to start and what a level of pages leads to.
 
-start() gives follow-ups (url, kind, base_url, seq, meta columns); parse(pages) gives items and the
-next follow-ups, for pages that carry the columns of the follow-ups they answer.
+start() gives follow-ups (url, kind, base_url, seq, meta columns). parsed(pages) reads pages, which
+carry the columns of the follow-ups they answer, once; items() and follows() look at its rows.
 """
 
 from __future__ import annotations
@@ -51,23 +51,22 @@ class BoardAdapter:
     def start(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(self.config.start_urls[0], "list", self.config.base, 1, "", None)], self.FOLLOW)
 
-    def lists(self, pages: DataFrame) -> DataFrame:
-        """Index pages with r, what they hold."""
+    def parsed(self, pages: DataFrame) -> DataFrame:
+        """pages with r, what they hold, and error where the parser failed; the text is no longer needed."""
         base = F.coalesce("base_url", F.lit(self.config.base))
-        return pages.where("kind = 'list'").withColumn("base_url", base).withColumn("r", board.parse_list(F.col("text"), F.col("base_url"), self.config))
+        df = pages.withColumn("base_url", base).withColumn("r", board.parse_pages(F.col("kind"), F.col("text"), F.col("base_url"), self.config))
+        return df.withColumn("error", F.col("r.error")).drop("text")
 
-    def follows(self, pages: DataFrame) -> DataFrame:
+    def follows(self, parsed: DataFrame) -> DataFrame:
         """Follow-ups of index pages; seq is the order within the level: the parent's, then the place on its page, the next page last."""
-        found = self.lists(pages)
+        found = parsed.where("kind = 'list' and error is null")
         cards = found.select("base_url", "page", "seq", F.posexplode("r.details").alias("pos", "d"))
         details = cards.select("d.url", F.lit("detail").alias("kind"), "base_url", F.col("page"), F.concat("seq", F.format_string(".%08d", "pos")).alias("seq"), "d.seed")
         urls = {n: self._page_url(n) for n in range(2, self.config.pagination.max_pages + 1)}
         made = F.try_element_at(F.create_map(*[x for n, u in urls.items() if u for x in (F.lit(n), F.lit(u))]).cast("map<int,string>"), F.col("page") + 1) if any(urls.values()) else F.lit(None).cast("string")
         following = found.where(F.col("page") < self.config.pagination.max_pages).select(F.coalesce("r.next", made).alias("url"), F.lit("list").alias("kind"), "base_url", (F.col("page") + 1).alias("page"), F.concat("seq", F.lit(".~")).alias("seq"), F.lit(None).cast(RECORD).alias("seed"))
         out = following.where("url is not null")
-        if self.config.detail:
-            out = details.unionByName(out)
-        return out.select("url", "kind", "base_url", "page", "seq", "seed")
+        return details.unionByName(out) if self.config.detail else out
 
     def _page_url(self, n: int) -> str | None:
         try:
@@ -75,14 +74,14 @@ class BoardAdapter:
         except ConfigError:
             return None
 
-    def items(self, pages: DataFrame) -> DataFrame:
+    def items(self, parsed: DataFrame) -> DataFrame:
         """Items of detail pages, or of the index rows if the board has no detail pages."""
+        ok = parsed.where("error is null")
         if not self.config.detail:
-            cards = self.lists(pages).select(F.explode("r.details").alias("d"))
+            cards = ok.where("kind = 'list'").select(F.explode("r.details").alias("d"))
             return board.build_items(cards.select("d.url", "d.seed.fields", "d.seed.lists"), self.config)
-        ok = pages.where("kind = 'detail'").select("url", "text", "seed")
-        found = ok.select("url", "seed", board.parse_detail(F.col("text"), self.config).alias("r"))
-        merged = found.select("url", board.overlay(F.col("seed.fields"), F.col("r.fields")).alias("fields"), board.overlay_lists(F.col("seed.lists"), F.col("r.lists")).alias("lists"))
+        details = ok.where("kind = 'detail'")
+        merged = details.select("url", board.overlay(F.col("seed.fields"), F.col("r.record.fields")).alias("fields"), board.overlay_lists(F.col("seed.lists"), F.col("r.record.lists")).alias("lists"))
         return board.build_items(merged, self.config)
 
 
@@ -115,6 +114,10 @@ class ThreadAdapter:
     def _follow(self, df: DataFrame, stage: str, reply: str = "0") -> DataFrame:
         return df.select("url", F.lit("json").alias("kind"), F.lit(None).cast("string").alias("base_url"), F.lit(stage).alias("stage"), "thread_id", "posted_at", F.expr(reply).cast("int").alias("reply"), F.concat_ws(".", "thread_id", F.format_string("%08d", "pos")).alias("seq"))
 
+    def parsed(self, pages: DataFrame) -> DataFrame:
+        """pages with error; JSON that is none holds nothing and is no error."""
+        return pages.withColumn("error", F.lit(None).cast("string"))
+
     def follows(self, pages: DataFrame) -> DataFrame:
         at = lambda stage: pages.where(F.col("stage") == stage)
         out = self._follow(thread.search_stage(at("search"), self.item_base, self.threads, self.seekers), "thread")

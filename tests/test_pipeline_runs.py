@@ -74,10 +74,27 @@ def test_empty_archive_flags_nothing(spark, board, tmp_path):
     assert (r.status, r.items_seen) == ("succeeded", 0)
 
 
+def test_a_page_that_breaks_the_parser_is_one_failure(spark, board, tmp_path, monkeypatch):
+    from lodestack.operators import board as pages
+
+    out = pages.parse_page("list", 5, None, board.config)
+    assert out["error"].startswith("TypeError") and out["details"] == []
+    real = pages.parse_pages
+
+    def broken(kind, markup, base, config):
+        found = real(kind, markup, base, config)
+        return F.when(kind == "detail", found.withField("error", F.lit("boom"))).otherwise(found)
+
+    monkeypatch.setattr(pages, "parse_pages", broken)
+    r = crawl(Store(spark, str(tmp_path)), board, fetch_of(board), DAY1)
+    assert r.status == "succeeded" and r.failures == 4 and r.items_seen == 0 and "boom" in r.errors
+
+
 def test_list_only_board(spark, board):
     config = adapters.BoardConfig.from_mapping({"name": "flat", "start_urls": ["https://h.example/"], "list": {"item_selector": "div.card", "url": "a.open::attr(href)", "fields": {"title": "h2::text", "company": "span.firm::text"}}})
     a = adapters.get_adapter("htmlboard", config=config)
     pages = spark.createDataFrame([("https://h.example/", "list", "https://h.example/", 1, 0, None, fixture_board.LIST1)], a.FOLLOW + ", text string")
+    pages = a.parsed(pages)
     assert sorted(r.title for r in a.items(pages).collect()) == ["Cook", "Elsewhere", "Ghost", "Pilot"]
     assert a.follows(pages).count() == 0
 
