@@ -91,7 +91,13 @@ class Model:
     weights: np.ndarray | None  # grams by classes
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        seen = self.grams.presence(texts)
+        if max(map(len, texts)) <= BATCH_CHARS:
+            seen = self.grams.presence(texts)
+        else:  # a text that stands alone, in windows that overlap by two characters
+            (text,) = texts
+            seen = self.grams.presence([text[:BATCH_CHARS]])
+            for at in range(BATCH_CHARS - 2, len(text), BATCH_CHARS - 2):
+                np.maximum(seen, self.grams.presence([text[at : at + BATCH_CHARS]]), out=seen)
         return (seen @ self.weights) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -103,7 +109,7 @@ class Model:
         at = 0
         while at < len(todo):
             end, size = at, 0
-            while end < len(todo) and (end == at or size + len(texts[todo[end]]) <= BATCH_CHARS) and end - at < 128:
+            while end < len(todo) and (end == at or size + len(texts[todo[end]]) <= BATCH_CHARS // 2) and end - at < 128:
                 size += len(texts[todo[end]])
                 end += 1
             s = self.scores([texts[k].lower() for k in todo[at:end]]) * SHARPNESS

@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestack.llm.shared import materialise, partitions
+from lodestack.llm.shared import materialise, partitions, small_batches
 
 CAPACITY = 4096
 #: Intervals up to this number are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: In a text of these characters alone, canonical composition changes nothing and white space is plain.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
+#: Longer texts are taken in parts that start at a space, which no token spans.
+WINDOW = 1 << 20
+GAP = re.compile(r"(?<=\S) (?=\S)")
 #: A worker forgets its words beyond this number.
 CACHE_WORDS = 400_000
 #: The split of this kind of vocabulary, for text without white space.
@@ -88,6 +91,17 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if len(text) <= WINDOW:
+            return self._encode(text)
+        parts, at = [], 0
+        while at < len(text):
+            gap = GAP.search(text, at + WINDOW)
+            end = gap.start() if gap else len(text)
+            parts.append(self._encode(text[at:end]))
+            at = end
+        return b"".join(parts)
+
+    def _encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, known = text.split(), self.known
@@ -107,6 +121,7 @@ class WordEncoder:
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, with keep_ids also ids (packed)."""
+    small_batches(df.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -123,6 +138,7 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                         values.append(x)
             made = {c: pa.array(v, pa.int64()) for c, v in zip(columns, out, strict=False)}
             yield pa.RecordBatch.from_pydict(made | ({"ids": pa.array(out[5], pa.binary())} if keep_ids else {}))
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)

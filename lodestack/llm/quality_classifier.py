@@ -33,6 +33,8 @@ DIMS = 64
 NEIGHBOURS = 25
 SHARPNESS = 6
 BLOCK = 128
+#: Characters that are arrays at one time.
+WINDOW = 1 << 18
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHAPES = 6 + len(_PUNCTUATION)
@@ -81,11 +83,12 @@ def counts(texts: list[str]) -> np.ndarray:
     room = TERMS - _SPECIAL
     out = np.zeros((len(texts), TERMS), np.float32)
     for k, text in enumerate(texts):
-        s = _shapes(text)
-        two = s[:-1] * SHAPES + s[1:]
-        three = two[:-1] * SHAPES + s[2:]
-        grams = np.concatenate((s, two + SHAPES, three + SHAPES * (SHAPES + 1)))
-        out[k, :room] = np.bincount((grams * 2654435761 >> 7) % room, minlength=room)
+        for at in range(0, len(text), WINDOW):
+            s = _shapes(text[at : at + WINDOW + 2])
+            two = s[:-1] * SHAPES + s[1:]
+            three = two[:-1] * SHAPES + s[2:]
+            grams = np.concatenate((s[:WINDOW], two[:WINDOW] + SHAPES, three[:WINDOW] + SHAPES * (SHAPES + 1)))
+            out[k, :room] += np.bincount((grams * 2654435761 >> 7) % room, minlength=room)
         out[k, [room + t for t in _specials(text)]] = 1 + len(text) / 8
     return out
 

@@ -84,7 +84,7 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, se
     """df with shard (int) and slot (long, gapless from 0 within its shard)."""
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    buckets = partitions(spark)
+    buckets = 4 * partitions(spark)  # several to a task, which evens tasks out
     subs = max(1, -(-2 * buckets // shards))
     rows = df.select(F.col(key).alias("_key"), F.hash(*df.columns).alias("_tie"), F.struct(*df.columns).alias("_all"))
     bucket = F.pmod(_order(seed, 0, F.col("_key")), F.lit(buckets)).cast("int")

@@ -50,8 +50,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ROWS rows where the session has no setting of its own: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 def append_columns(df: DataFrame, fields: dict[str, str], fn: Callable[[list[str | None]], dict[str, pa.Array]], text: str = "text") -> DataFrame:
     """df with columns that fn makes of its texts, batch by batch; columns of df with these names are replaced."""
+    small_batches(df.sparkSession)
     base = df.drop(*fields)
     schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in fields.items())).fields])
     at, names = base.columns.index(text), schema.names
@@ -62,6 +70,7 @@ def append_columns(df: DataFrame, fields: dict[str, str], fn: Callable[[list[str
                 part = batch.slice(start, ROWS)
                 made = fn(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(made[c] for c in fields)], names=names)
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, schema)
 

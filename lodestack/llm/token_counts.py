@@ -27,17 +27,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import partitions
+from lodestack.llm.shared import partitions, small_batches
 
 #: The split of byte-level BPE vocabularies of this kind. White space beyond these is UNUSUAL.
 _WS = r"\t-\r \x85\xa0"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: A text with other characters goes through the library's own split, whose Unicode tables may differ.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
+GAP = re.compile(r"(?<=\S) (?=\S)")
 #: A block of documents closes at so many bytes of text.
 BLOCK_BYTES = 16 << 20
 
 
+def windows(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A long text in pieces that start at a single space between two other characters, where a pre-token always starts."""
+    at = 0
+    while len(text) - at > size:
+        gap = GAP.search(text, at + size)
+        if not gap:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:] if at else text
+
+
 class PieceCounter:
     """Piece counts of pre-tokens, by the library; built once in a worker."""
 
@@ -74,16 +87,17 @@ class PieceCounter:
                 found.append(text)
         return found
 
-    def split(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens of a text, and how many special tokens stand between them."""
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
-        found: list[str] = []
-        for part in parts:
-            if UNUSUAL.search(part):
-                found += [part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part)]
-            else:
-                found += self.find(part)
-        return found, len(parts) - 1
+    def split(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, in lists of bounded size; special tokens are cut out."""
+        for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
+            for some in windows(part):
+                if UNUSUAL.search(some):
+                    yield [some[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(some)]
+                else:
+                    yield self.find(some)
+
+    def specials_in(self, text: str) -> int:
+        return len(self.cut.findall(text)) if self.cut and "<|" in text else 0
 
     def pieces(self, pretokens: list[str]) -> list[int]:
         """Pieces of each; special strings cannot occur, as split() has cut them out."""
@@ -123,14 +137,15 @@ class _Block:
 
     def add(self, doc_id, text: str | None, counter: PieceCounter) -> None:
         text = text or ""
-        pretokens, special = counter.split(text)
-        single, index = counter.single, self.index
-        rest = [index.setdefault(t, len(index)) for t in pretokens if t not in single]
+        single, index, known = counter.single, self.index, counter.specials_in(text)
+        for pretokens in counter.split(text):
+            rest = [index.setdefault(t, len(index)) for t in pretokens if t not in single]
+            self.seen.append(np.array(rest, np.int64) + (len(self.ids) << 32))
+            known += len(pretokens) - len(rest)
         size = len(text) if text.isascii() else len(text.encode())
-        self.seen.append(np.array(rest, np.int64) + (len(self.ids) << 32))
         self.ids.append(doc_id)
         self.n_bytes.append(size)
-        self.known.append(len(pretokens) - len(rest) + special)
+        self.known.append(known)
         self.size += size + 64
 
     def rows(self, block: int, buckets: int) -> Iterator[tuple]:
@@ -159,6 +174,7 @@ class _Block:
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: the id (long), n_bytes and n_tokens."""
     spark = df.sparkSession
+    small_batches(spark)
     buckets = partitions(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +220,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     return (
         df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
         .mapInArrow(split, "key int, block long, info binary, payload binary")
-        .repartition(buckets, "key")
+        .repartitionById(buckets, "key")
         .mapInArrow(encode, "block long, info binary, payload binary")
         .groupBy("block")
         .applyInArrow(finish, f"`{id_col}` long, n_bytes long, n_tokens long")

@@ -58,3 +58,14 @@ def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in Q.scores(docs, none).collect()] == [0.5]
     assert Q.scores(docs.limit(0), none).collect() == []
+
+
+def test_long_texts_in_windows(monkeypatch):
+    text = "Ab c!\n 12 dé " * 40
+    whole = Q.counts([text])
+    monkeypatch.setattr(Q, "WINDOW", 7)
+    assert (Q.counts([text]) == whole).all()
+    model = L.fit_texts(["abc abd aé", "xyz xyw!"], ["a", "x"])
+    want = model.scores([text.lower()])
+    monkeypatch.setattr(L, "BATCH_CHARS", 9)
+    assert (model.scores([text.lower()]) == want).all()

@@ -71,3 +71,10 @@ def test_place_uses_every_piece_once():
     assert seen == dict(histogram) and max(load.values()) <= 4096
     assert sorted(load) == list(range(len(load)))
     assert sum(load.values()) > 0.95 * 4096 * len(load)
+
+
+def test_long_texts_in_windows(monkeypatch):
+    monkeypatch.setattr(P, "WINDOW", 15)
+    text = "It's  a b\n c é <|endoftext|> d\u3000e 12 !? ΣΑΣ x " * 30
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert P.WordEncoder(PATH).encode(text) == np.array(ids, "<u4").tobytes()

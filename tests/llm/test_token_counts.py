@@ -29,3 +29,11 @@ def test_whole_table(spark, sf):
     rows = docs.select("doc_id", "text").collect()
     want = dict(zip([r.doc_id for r in rows], brute([r.text for r in rows]), strict=True))
     assert {r.doc_id: r.n_tokens for r in T.token_counts(docs, PATH).collect()} == want
+
+
+def test_long_texts_in_windows():
+    text = "it's  a b\n c é <|endoftext|> d\u3000e 12 !? x " * 50
+    counter = T.PieceCounter.of(PATH)
+    parts = list(T.windows(text, 20))
+    assert "".join(parts) == text and len(parts) > 20
+    assert sum(counter.pieces([w for p in parts for some in counter.split(p) for w in some])) + counter.specials_in(text) == brute([text])[0]
