@@ -28,7 +28,6 @@ TECH_TAGS = [
     "python", "django", "flask", "fastapi", "go", "golang", "rust", "java", "kotlin", "typescript", "javascript", "react", "node", "postgres",
     "postgresql", "kubernetes", "docker", "aws", "gcp", "terraform", "machine learning", "data engineering", "devops", "security", "mobile", "ios", "android",
 ]
-SALARY_WORDS = ["salary", "comp", "compensation", "pay", "rate", "base", "per year", "per hour", "/hour", "/yr", "per month"]
 TAG_SEPARATORS = [",", "|", ";", "·"]
 REDACTED = "[redacted]"
 PHONE_DIGITS = (7, 15)
@@ -84,6 +83,7 @@ def truncate(c: Column, limit: int = DESCRIPTION_LIMIT) -> Column:
 
 # money ---------------------------------------------------------------------------------------
 
+# Patterns of amounts and of what makes digits an amount.
 _CODES = "|".join(CURRENCY_CODES)
 MONEY = rf"(?iU)([$£€₹]|\b(?:{_CODES})\b)?\s*(\d{{1,3}}(?:[,\x{{00a0}} ]\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*([kKmM])?\b"
 _HINT = (
@@ -132,6 +132,7 @@ def parse_salary(c: Column) -> Column:
 
 # dates ---------------------------------------------------------------------------------------
 
+# The forms of dates, in the order in which they are tried.
 _NAMES = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
 ISO_DATE = r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b"
 MONTH_FIRST = rf"(?iU)\b({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
@@ -213,6 +214,7 @@ def is_hiring_thread(title: Column) -> Column:
     return low.contains("who is hiring") | low.contains("who wants to be hired")
 
 
+# Fixed value: what a comment says that offers nothing.
 NOT_A_POSTING = r"\b(i'?m not hiring|we'?re not hiring|no longer hiring|not hiring|closed)\b"
 
 
@@ -222,6 +224,7 @@ def is_posting(c: Column) -> Column:
 
 # personal data -------------------------------------------------------------------------------
 
+# What is redacted.
 EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]{2,}\b"
 PHONE = r"(?U)(?<![\w$+])\+?\d[\d\s()./-]{5,24}\d(?![\w])"
 
