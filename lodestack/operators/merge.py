@@ -61,11 +61,11 @@ def write_stats(classified: DataFrame) -> DataFrame:
     return classified.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("new", "changed", "unchanged")], F.count("*").alias("total"))
 
 
-def merge(target: DataFrame, batch: DataFrame, touch_unchanged: bool = False) -> DataFrame:
+def merge(target: DataFrame, batch: DataFrame, touch_unchanged: bool = False, top: int | None = None) -> DataFrame:
     """The table after an upsert of a batch with one row per key.
 
     Unchanged rows stay as they are, which includes last_seen_at and is_active, unless
-    touch_unchanged. Changed rows keep id and first_seen_at. New rows get ids after the largest.
+    touch_unchanged. Changed rows keep id and first_seen_at. New rows get ids after top, or after the largest of target.
     """
     t, b = target.alias("t"), batch.alias("b")
     joined = t.join(b, [F.col(f"t.{k}") == F.col(f"b.{k}") for k in KEY], "full_outer")
@@ -85,21 +85,29 @@ def merge(target: DataFrame, batch: DataFrame, touch_unchanged: bool = False) ->
         else:
             c = F.when(change, new).otherwise(old)
         columns.append(c.alias(f.name))
-    merged = joined.select(*columns)
-    return assign_ids(merged)
+    return assign_ids(joined.select(*columns), top=top)
 
 
-def assign_ids(df: DataFrame, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Fill null ids with numbers after the largest, by hash bucket and key; no task sees all new rows."""
+def number(fresh: DataFrame, top: Column | int, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """fresh with ids from top + 1 on, by hash bucket and key; no task sees all rows."""
     keys = keys or KEY
-    fresh = df.where("id is null").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    counts = fresh.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    spread = fresh.drop("id").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    counts = spread.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per bucket
-    top = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     within = Window.partitionBy("_bucket").orderBy(*keys)
-    numbered = fresh.withColumn("_row", F.row_number().over(within)).join(F.broadcast(before), "_bucket").crossJoin(F.broadcast(top))
-    numbered = numbered.withColumn("id", F.col("_top") + F.col("_before") + F.col("_row"))
-    return df.where("id is not null").unionByName(numbered.select(*df.columns))
+    numbered = spread.withColumn("_row", F.row_number().over(within)).join(F.broadcast(before), "_bucket")
+    top = F.lit(top) if isinstance(top, int) else top
+    return numbered.withColumn("id", top + F.col("_before") + F.col("_row")).select(*fresh.columns)
+
+
+def assign_ids(df: DataFrame, keys: list[str] | None = None, top: int | None = None) -> DataFrame:
+    """Fill null ids with numbers after top, or after the largest id of df."""
+    fresh = df.where("id is null")
+    if top is not None:
+        return df.where("id is not null").unionByName(number(fresh, top, keys))
+    largest = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    numbered = number(fresh.crossJoin(F.broadcast(largest)), F.col("_top"), keys).drop("_top")  # one row
+    return df.where("id is not null").unionByName(numbered)
 
 
 def mark_stale(target: DataFrame, source: str, seen: DataFrame, run_id: int | None = None) -> DataFrame:

@@ -23,6 +23,8 @@ from lodestack.sources import archive
 from lodestack.sources.tables import Table
 
 Fetch = Callable[[DataFrame], DataFrame]
+#: Column by which a table's folders are cut.
+PARTITIONS = {"job_items": "source", "raw_pages": "adapter"}
 
 
 @dataclass
@@ -58,10 +60,15 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.tables = {name: Table(spark, f"{self.root}/{name}", schema) for name, schema in TABLES.items()}
+        self.tables = {name: Table(spark, f"{self.root}/{name}", schema, PARTITIONS.get(name)) for name, schema in TABLES.items()}
 
-    def read(self, name: str) -> DataFrame:
-        return self.tables[name].read()
+    def read(self, name: str, *values: str) -> DataFrame:
+        """A table, or its partitions of these values."""
+        return self.tables[name].read(values or None)
+
+    def top(self, name: str) -> int:
+        """The largest id, from the id column alone."""
+        return self.read(name).agg(F.max("id")).first()[0] or 0
 
     def scratch(self, df: DataFrame, label: str) -> DataFrame:
         """df written under the store and read again."""
@@ -74,15 +81,14 @@ class Store:
         table = self.tables[name]
         keys = [c for c in ("url", "run_id", "fetched_at", "error", "created_at") if c in table.schema.names]
         with table.lock():
-            table.publish(merge.assign_ids(self.read(name).unionByName(conform(df, table.schema)), keys))
+            table.append(merge.number(conform(df, table.schema), self.top(name), keys))
 
     def start_run(self, adapter: str, at: datetime) -> int:
         table = self.tables["crawl_runs"]
         with table.lock():
-            runs = table.read()
-            run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
+            run_id = self.top("crawl_runs") + 1
             row = conform(self.spark.createDataFrame([(run_id, adapter, at)], "id long, adapter string, started_at timestamp").withColumns({"status": F.lit("running"), "created_at": F.col("started_at")}), CRAWL_RUNS)
-            table.publish(runs.unionByName(row))
+            table.append(row)
         return run_id
 
     def finish_run(self, run_id: int, result: RunResult, at: datetime) -> None:
@@ -102,22 +108,26 @@ class Store:
             table.publish(table.read().where(~F.col("run_id").eqNullSafe(F.lit(run_id))))
 
     def upsert(self, items: DataFrame, seen_at: datetime, run_id: int | None, stale_source: str | None = None, touch_unchanged: bool = False) -> tuple[dict, int]:
-        """Merge items and, with stale_source, flag what they do not contain. Returns outcomes and how many were flagged."""
+        """Merge items and, with stale_source, flag what they do not contain. Returns outcomes and how many were flagged.
+
+        Only the partitions of the batch's sources are read and written.
+        """
         table = self.tables["job_items"]
         with table.lock():
             batch = self.scratch(merge.last_of_each(merge.to_rows(items, seen_at, run_id)), "batch")
-            target = table.read()
+            sources = sorted({r["source"] for r in batch.select("source").distinct().collect()} | ({stale_source} if stale_source else set()))  # names of adapters
+            target = table.read(sources)
             stats = merge.write_stats(merge.classify(target, batch)).first().asDict()
             flagged = 0
             if stats["total"] == 0:
                 return stats, 0
-            merged = merge.merge(target, batch, touch_unchanged)
+            merged = merge.merge(target, batch, touch_unchanged, self.top("job_items"))
             if stale_source is not None:
                 merged = self.scratch(merged, "merged")
                 after = merge.mark_stale(merged, stale_source, batch.where(F.col("source") == stale_source), run_id)
                 flagged = merge.stale_count(merged, after)
                 merged = after
-            table.publish(merged)
+            table.replace(merged, sources)
         return stats, flagged
 
 
@@ -195,7 +205,7 @@ def reparse(store: Store, adapter, as_of: datetime, limit: int = 1000, first_onl
     again. Nothing is flagged stale if nothing was parsed.
     """
     run_id, result, began = store.start_run(adapter.name, as_of), RunResult(adapter.name), time.monotonic()
-    own = store.read("raw_pages").where(F.col("adapter") == adapter.name)
+    own = store.read("raw_pages", adapter.name)
     newest = archive.latest(own).join(archive.urls(own, limit=limit).select("url"), "url", "left_semi")
     schema = adapter.FOLLOW.replace("url string, ", "", 1).replace("kind string, ", "", 1)
     pages = archive.replayed(newest).withColumn("_f", F.from_json("meta", schema)).select("url", "kind", "status_code", "text", "_f.*")

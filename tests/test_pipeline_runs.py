@@ -31,6 +31,7 @@ def test_crawl_recrawl_change_and_reparse(spark, board, tmp_path):
     r = crawl(store, board, fetch_of(board), DAY1)
     # pages: 2 lists, details 1, 2 and 4; 3 is not recorded, other.example is off site; 4 falls back to its list card
     assert (r.pages_fetched, r.failures, r.items_seen, r.items_new, r.status) == (5, 1, 3, 3, "succeeded")
+    assert {x.url for x in store.read("fetch_errors").collect()} == {"https://harbour.example/jobs/3"}
     assert r.errors == ["HTTP 404 for https://harbour.example/jobs/3"] and r.detail["duplicates_skipped"] == 1
     items = {x.url.rsplit("/", 1)[1]: x for x in store.read("job_items").collect()}
     one, two, four = items["1"], items["2"], items["4#top"]
@@ -69,6 +70,12 @@ def test_depth_and_page_budget(spark, board, tmp_path):
     assert r.requests_made == 3 and r.detail["over_budget"] > 0
 
 
+def test_reparse_can_keep_one_item_a_page(spark, board, tmp_path):
+    store = Store(spark, str(tmp_path))
+    crawl(store, board, fetch_of(board), DAY1)
+    assert reparse(store, board, DAY2, first_only=True).items_seen == 3
+
+
 def test_empty_archive_flags_nothing(spark, board, tmp_path):
     r = reparse(Store(spark, str(tmp_path)), board, DAY1)
     assert (r.status, r.items_seen) == ("succeeded", 0)
@@ -106,11 +113,40 @@ def test_tables_publish_whole_versions(spark, tmp_path):
     t.publish(df)
     old = t.read()
     t.append(df)
-    assert (old.count(), t.read().count()) == (1, 2) and t.vacuum() == 1 and t.read().count() == 2
+    assert (old.count(), t.read().count(), len(t.segments())) == (1, 2, 2)
+    t.compact()
+    assert len(t.segments()) == 1 and t.read().count() == 2 and t.vacuum() == 2 and t.read().count() == 2
     with t.lock(), pytest.raises(LodestackError), t.lock():
         pass
     with t.lock():
         pass
+    with pytest.raises(LodestackError):
+        t.replace(df, ["s"])
+
+
+def test_partitions_are_replaced_alone(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"), JOB_ITEMS, "source")
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, source string, external_id string")
+    t.publish(rows((1, "a/b=c", "x"), (2, "z", "y"), (3, "z", "w")))
+    kept = [s for s in t.segments() if s.endswith("=z")]
+    t.replace(rows((1, "a/b=c", "x2"), (4, "new", "n")), ["a/b=c", "new"])
+    assert {(r.id, r.source, r.external_id) for r in t.read().collect()} == {(1, "a/b=c", "x2"), (2, "z", "y"), (3, "z", "w"), (4, "new", "n")}
+    assert kept[0] in t.segments() and len(t.segments()) == 3
+    assert {r.id for r in t.read(["a/b=c"]).collect()} == {1} and t.read(["nope"]).count() == 0
+    assert t.vacuum() == 0 and t.read().count() == 4
+
+
+def test_a_merge_touches_its_source_only(spark, tmp_path):
+    from tests.test_queries import batch
+
+    store = Store(spark, str(tmp_path))
+    give = lambda *rows: batch(spark, *rows).selectExpr("*", "cast(null as string) raw", "cast(null as timestamp) posted_at")
+    store.upsert(give(("a", "1", "u", "T1"), ("b", "1", "u", "T2")), DAY1, 1)
+    before = {s for s in store.tables["job_items"].segments() if s.endswith("source=b")}
+    stats, flagged = store.upsert(give(("a", "2", "u", "T3")), DAY2, 2, "a")
+    assert stats["new"] == 1 and flagged == 1 and before <= set(store.tables["job_items"].segments())
+    rows = {(r.source, r.external_id): (r.id, r.is_active) for r in store.read("job_items").collect()}
+    assert rows["a", "1"][1] is False and rows["b", "1"][1] is True and rows["a", "2"][0] == 3 and len({i for i, _ in rows.values()}) == 3
 
 
 def test_bundle_errors_and_recorder(spark, board, tmp_path):

@@ -1,6 +1,8 @@
 from datetime import datetime
 
 import pytest
+from hypothesis import HealthCheck, Phase, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestack.functions import display, hashing, text, urls
@@ -92,3 +94,34 @@ def test_display(spark):
     df = spark.createDataFrame([(85000.0, 105000.0, "EUR"), (50.0, 50.0, None), (None, 1234.0, "USD"), (None, None, "USD")], "a double, b double, c string")
     assert [r[0] for r in df.select(display.salary_display(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["EUR 85k – 105k", "50", "USD 1,234", "—"]
     assert run(spark, lambda c: display.share_display(c, F.lit(8)), [1, 4], "int") == ["12%", "50%"]
+
+
+def test_heuristics_that_are_the_definition(spark):
+    assert run(spark, text.looks_remote, ["distributed systems"]) == [True]
+    assert run(spark, text.detect_employment_type, ["internal tools"]) == ["internship"]
+    assert run(spark, text.is_posting, ["We closed our round, hiring"]) == [False]
+
+
+@settings(max_examples=12, deadline=None, phases=[Phase.generate], derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["http", "HTTPS"]), st.sampled_from(["A.test", "b.Test:81"]), st.text("ab/%.", max_size=6), st.lists(st.text("xy=1", max_size=4), max_size=4), st.sampled_from(["", "#", "#f?x"])), min_size=1, max_size=20))
+def test_canonical_urls_are_stable(spark, parts):
+    made = [f"{s}://{h}/{p}" + ("?" + "&".join(q) if q else "") + f for s, h, p, q, f in parts]
+    once = run(spark, urls.canonical_url, made)
+    assert run(spark, urls.canonical_url, once) == once
+    shuffled = [f"{s}://{h}/{p}" + ("?" + "&".join(reversed(q)) if q else "") + f for s, h, p, q, f in parts]
+    assert run(spark, urls.canonical_url, shuffled) == once
+
+
+@settings(max_examples=12, deadline=None, phases=[Phase.generate], derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from(list("ab \n\t\x1c\u00a0<p>/br&;lt123-+()@.é…")), max_size=40), min_size=1, max_size=20))
+def test_text_functions_as_python_would(spark, values):
+    import html
+    import re
+
+    def plain(t):
+        t = re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", t)
+        return re.sub(r"\s+", " ", html.unescape(t)).strip()
+
+    assert run(spark, text.normalise_text, values) == [plain(v) for v in values]
+    assert run(spark, text.normalise_ws, values) == [re.sub(r"\s+", " ", v).strip() for v in values]
+    assert run(spark, lambda c: text.truncate(c, 9), values) == [v if len(v) <= 9 else v[:8].rstrip() + "…" for v in values]
