@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from lodestack.functions.urls import canonical_url
-from lodestack.operators.policy import Breaker
+from lodestack.operators.policy import Breaker, Bucket
 from lodestack.plans.pipeline import Store
 
 
@@ -81,3 +81,77 @@ class BreakerProcessor(StatefulProcessor):
 def breaker_stream(events: DataFrame, threshold: int = 8, reset: float = 60.0) -> DataFrame:
     """Needs the RocksDB state store."""
     return events.groupBy("host").transformWithStateInPandas(BreakerProcessor(threshold, reset), BREAKER_OUT, "Append", "None")
+
+
+BUCKET_OUT = "host string, ts double, waited double"
+
+
+class BucketProcessor(StatefulProcessor):
+    """A token bucket per host over a stream of (host, ts seconds)."""
+
+    def __init__(self, rate: float, capacity: float | None = None):
+        self.rate, self.capacity = rate, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("bucket", "tokens double, updated double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        b = Bucket(self.rate, self.capacity)
+        if self.kept.exists():
+            b.tokens, b.updated = self.kept.get()
+        asked = pd.concat(list(rows))["ts"].sort_values(kind="stable")
+        out = [(key[0], float(t), float(b.wait(t))) for t in asked]
+        self.kept.update((float(b.tokens), float(b.updated)))
+        yield pd.DataFrame(out, columns=["host", "ts", "waited"])
+
+    def close(self) -> None:
+        pass
+
+
+def bucket_stream(requests: DataFrame, rate: float, capacity: float | None = None) -> DataFrame:
+    """Needs the RocksDB state store."""
+    Bucket(rate, capacity)
+    return requests.groupBy("host").transformWithStateInPandas(BucketProcessor(rate, capacity), BUCKET_OUT, "Append", "None")
+
+
+STALE_OUT = "source string, external_id string, is_active boolean, at timestamp"
+
+
+class StaleProcessor(StatefulProcessor):
+    """Tells when a listing is first seen, and when it has not been seen for a while of event time."""
+
+    def __init__(self, after_seconds: float):
+        self.after = int(after_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = int(max(frame["ts"].max() for frame in rows).timestamp() * 1000)
+        known = self.seen.get() if self.seen.exists() else None
+        if known:
+            last = max(last, known[0])
+            self.handle.deleteTimer(known[1])
+        timer = last + self.after
+        self.handle.registerTimer(timer)
+        self.seen.update((last, timer))
+        yield self._row(key, True, last) if known is None else pd.DataFrame([], columns=["source", "external_id", "is_active", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = self.seen.get()[1]
+        self.seen.clear()
+        yield self._row(key, False, at)
+
+    @staticmethod
+    def _row(key, active: bool, ms: int) -> pd.DataFrame:
+        return pd.DataFrame({"source": [key[0]], "external_id": [key[1]], "is_active": [active], "at": [pd.Timestamp(ms, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_stream(items: DataFrame, after_seconds: float, late: str = "0 seconds") -> DataFrame:
+    """items (source, external_id, ts) become changes of is_active. Needs the RocksDB state store."""
+    keyed = items.select("source", "external_id", "ts").withWatermark("ts", late).groupBy("source", "external_id")
+    return keyed.transformWithStateInPandas(StaleProcessor(after_seconds), STALE_OUT, "Append", "EventTime")

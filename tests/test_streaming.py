@@ -54,14 +54,18 @@ def test_merge_stream(spark, tmp_path):
     assert q.exception() is None and sorted(r.external_id for r in store.read("job_items").collect()) == ["1", "2"]
 
 
-def test_breaker_stream(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
     pytest.importorskip("google.protobuf")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.unset(key)
+
+
+def test_breaker_stream(rocks, tmp_path):
     rows = [("h", float(t), ok) for t, ok in enumerate([False, False, False, True, False])]
-    try:
-        got = drain(S.breaker_stream(stream(spark, tmp_path, rows, "host string, ts double, ok boolean", 1), 3, 2.0), "breaker", "append", tmp_path)
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = drain(S.breaker_stream(stream(rocks, tmp_path, rows, "host string, ts double, ok boolean", 1), 3, 2.0), "breaker", "append", tmp_path)
     b, want = Breaker(3, 2.0), []
     for _, t, ok in rows:
         allowed = b.admits(t)
@@ -69,3 +73,20 @@ def test_breaker_stream(spark, tmp_path):
             b.record(ok, t)
         want.append((t, allowed, b.state))
     assert sorted((r.ts, r.allowed, r.state) for r in got) == want
+
+
+def test_bucket_stream(rocks, tmp_path):
+    rows = [("h", 0.0), ("h", 0.1), ("h", 0.2), ("g", 0.0)]
+    got = drain(S.bucket_stream(stream(rocks, tmp_path, rows, "host string, ts double", 1), 1.0), "bucket", "append", tmp_path)
+    assert [(r.host, r.ts, round(r.waited, 6)) for r in sorted(got, key=lambda r: (r.host, r.ts))] == [("g", 0.0, 0.0), ("h", 0.0, 0.0), ("h", 0.1, 0.9), ("h", 0.2, 1.8)]
+
+
+def test_stale_stream(rocks, tmp_path):
+    folder = tmp_path / "in"
+    for day, ids in ((1, ["1", "2"]), (2, ["1"]), (9, ["3"]), (20, ["3"])):
+        rocks.createDataFrame([("a", i, datetime(2026, 1, day)) for i in ids], "source string, external_id string, ts timestamp").coalesce(1).write.mode("append").parquet(str(folder))
+    items = rocks.readStream.schema("source string, external_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = drain(S.stale_stream(items, 5 * 86400.0), "stale", "append", tmp_path)
+    first = {r.external_id for r in got if r.is_active}
+    gone = {(r.external_id, r["at"]) for r in got if not r.is_active}
+    assert first == {"1", "2", "3"} and {("2", datetime(2026, 1, 6)), ("1", datetime(2026, 1, 7))} <= gone
