@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.llm.shared import partitions
+from lodestack.llm.shared import hashable, partitions
 
 #: numpy draws hypergeometric numbers for urns below this size.
 NUMPY_URN = 10**9
@@ -86,7 +86,7 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, se
     df = df.drop("shard", "slot")
     buckets = 4 * partitions(spark)  # several to a task, which evens tasks out
     subs = max(1, -(-2 * buckets // shards))
-    rows = df.select(F.col(key).alias("_key"), F.hash(*df.columns).alias("_tie"), F.struct(*df.columns).alias("_all"))
+    rows = df.select(F.col(key).alias("_key"), F.xxhash64(F.lit(0), *hashable(df)).alias("_tie"), F.struct(*df.columns).alias("_all"))
     bucket = F.pmod(_order(seed, 0, F.col("_key")), F.lit(buckets)).cast("int")
     counted = {r["_bucket"]: r["count"] for r in rows.groupBy(bucket.alias("_bucket")).count().collect()}  # a row per bucket
     ends = communication_matrix([counted.get(b, 0) for b in range(buckets)], shards, seed).cumsum(axis=1)

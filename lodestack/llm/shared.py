@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,16 +37,35 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to a new Parquet folder in the shared place and read it back.
 
-    This cuts lineage: a lost executor costs a reread of the file and no recomputation.
+    This cuts lineage: a lost executor costs a reread of the file and no recomputation. The folder
+    stays until release(), as results are read when their caller wants them.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all folders that materialise() made in this process; results that read them are lost."""
+    gone = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark's hashes take: those without maps and variants."""
+    return [f.name for f in df.schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

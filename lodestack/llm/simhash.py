@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.shared import ROWS, append_columns, as_bytes, materialise, partitions, shield, small_batches
+from lodestack.llm.shared import ROWS, append_columns, as_bytes, hashable, materialise, partitions, shield, small_batches
 
 LEAF = 8192
 GROUP = 16
-#: Bits of a leaf's key for its place in its range; a range holds 16 leaves by design.
+#: Bits of a leaf's key for its place in its range; a range holds 16 leaves by design, and its last leaf any rest.
 SEQ_BITS = 12
 #: Index leaves are broadcast up to this number of fingerprints (8 bytes each: 32 MB), else joined by a shuffle.
 BROADCAST_FINGERPRINTS = 4_000_000
@@ -98,7 +98,7 @@ def leaves(distinct: DataFrame, n: int, leaf: int = LEAF) -> DataFrame:
 
         for batch in batches:
             held = np.concatenate((held, batch.column(0).to_numpy().view(np.uint64)))
-            while len(held) >= leaf:
+            while len(held) >= leaf and seq + 1 < 1 << SEQ_BITS:
                 yield row(held[:leaf], seq)
                 held, seq = held[leaf:], seq + 1
         if len(held):
@@ -246,7 +246,7 @@ def survivors(df: DataFrame, shingle: int = 3, most_bits: int = 3, leaf: int = L
     whose keys are broadcast up to BROADCAST_KEEPERS of them.
     """
     own, restore = shield(df, "_row", "_id", "_key")
-    row = F.xxhash64(*own.columns).alias("_row")
+    row = F.xxhash64(F.lit(0), *hashable(own)).alias("_row")
     keyed = own.select("*", row)
     texts = own.select("doc_id", "text", row)
     fps = append_columns(texts, {"fp": "long"}, lambda some: {"fp": pa.array(np.array([fingerprint(t.encode() if t else b"", shingle) for t in some], np.uint64).view(np.int64))})

@@ -57,3 +57,8 @@ def test_large_urn_law(good, bad, n):
     assert abs(own.mean() - ref.mean()) < 0.05 * ref.std() and abs(own.std() / ref.std() - 1) < 0.03
     values = np.arange(min(own.min(), ref.min()), max(own.max(), ref.max()) + 1)
     assert max(abs((own <= v).mean() - (ref <= v).mean()) for v in values) < 0.02
+
+
+def test_map_columns_travel_along(spark):
+    df = spark.range(50).selectExpr("id doc_id", "map('k', id) m")
+    assert all(r.m == {"k": r.doc_id} for r in S.shuffle_into_shards(df, "doc_id").collect())

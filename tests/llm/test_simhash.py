@@ -108,3 +108,18 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(7, 7), (None, 3), (5, 6)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(300)}
+
+
+def test_crowded_range_goes_to_its_last_leaf(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEQ_BITS", 2)
+    df = spark.range(400).selectExpr("xxhash64(id) fp")
+    rows = S.leaves(df, 1, 8).collect()
+    assert sorted(r.key for r in rows) == [0, 1, 2, 3] and sum(len(r.fps) for r in rows) == 400 * 8
+
+
+def test_release_deletes_what_was_written(spark):
+    from lodestack.llm import shared
+
+    shared.release(spark)
+    df = shared.materialise(spark.range(5), "t")
+    assert df.count() == 5 and shared.release(spark) == 1 and shared.release(spark) == 0
