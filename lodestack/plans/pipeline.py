@@ -60,12 +60,19 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._scratch: list[str] = []
         self.tables = {name: Table(spark, f"{self.root}/{name}", schema, PARTITIONS.get(name)) for name, schema in TABLES.items()}
 
     def read(self, name: str, *values: str) -> DataFrame:
         """A table, or its partitions of these values."""
         return self.tables[name].read(values or None)
 
+    def clean(self) -> None:
+        """Delete what scratch() wrote."""
+        while self._scratch:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._scratch.pop())
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def top(self, name: str) -> int:
         """The largest id, from the id column alone."""
         return self.read(name).agg(F.max("id")).first()[0] or 0
@@ -74,6 +81,7 @@ class Store:
         """df written under the store and read again."""
         path = f"{self.root}/scratch/{label}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._scratch.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def add(self, name: str, df: DataFrame) -> None:
@@ -195,6 +203,7 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
         result.detail |= skipped
         result.duration_seconds = time.monotonic() - began
         store.finish_run(run_id, result, as_of)
+        store.clean()
     return result
 
 
@@ -221,6 +230,7 @@ def reparse(store: Store, adapter, as_of: datetime, limit: int = 1000, first_onl
         result.detail["marked_inactive"] = flagged
     result.status, result.duration_seconds = "succeeded", time.monotonic() - began
     store.finish_run(run_id, result, as_of)
+    store.clean()
     return result
 
 

@@ -30,6 +30,7 @@ def merge_stream(items: DataFrame, store: Store, seen_at: datetime, checkpoint:
     def one(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             store.upsert(batch, seen_at, run_id)
+            store.clean()
 
     return items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
