@@ -96,15 +96,25 @@ def _fold(markup: Column, readable: Column) -> Column:
     return run(markup, readable)
 
 
-def parse_comments(comments: DataFrame, markup: str = "text") -> DataFrame:
-    """comments with a column posting (null where a comment is none)."""
+def parse_comments(comments: DataFrame, markup: str = "text", only_postings: bool = False) -> DataFrame:
+    """comments with a column posting (null where a comment is none, or without these comments).
+
+    They are left out before anything is derived from them: a filter on posting itself would be
+    pushed below all that makes it, with every expression written out.
+    """
     df = comments.withColumn("_readable", text.html_to_text(F.col(markup)))
-    df = df.withColumn("_f", _fold(F.col(markup), F.col("_readable"))).withColumn("_body", text.truncate(text.scrub_pii(F.col("_f.body"))))
+    df = df.withColumn("_f", _fold(F.col(markup), F.col("_readable")))
+    is_one = F.col("_f.company").isNotNull() & (F.col("_readable") != "") & text.is_posting(F.col("_readable"))
+    df = df.withColumn("_is_one", is_one)
+    if only_postings:
+        df = df.where("_is_one")
+    df = df.withColumn("_body", text.truncate(text.scrub_pii(F.col("_f.body"))))
     role, location, body = F.col("_f.role"), F.coalesce("_f.location", F.lit("")), F.col("_body")
-    whole = F.concat_ws(" ", role, location, body)
-    df = df.withColumn("_remote", F.coalesce("_f.remote", F.lit(False)) | text.looks_remote(whole))
+    df = df.withColumn("_role", role).withColumn("_whole", F.concat_ws(" ", role, location, body))
+    role, whole = F.col("_role"), F.col("_whole")
+    df = df.withColumn("_paytext", F.coalesce(F.nullif("_f.salary_text", F.lit("")), whole)).withColumn("_remote", F.coalesce("_f.remote", F.lit(False)) | text.looks_remote(whole))
     kind = F.coalesce("_f.employment_type", text.detect_employment_type(role, body))
-    pay = text.parse_salary(F.coalesce(F.nullif("_f.salary_text", F.lit("")), whole))
+    pay = text.parse_salary(F.col("_paytext"))
     df = df.withColumn("_kind", kind).withColumn("_pay", pay)
     labels = F.filter(F.array(F.when(F.col("_remote"), "remote"), F.col("_kind")), lambda t: t.isNotNull())
     posting = F.struct(
@@ -112,18 +122,16 @@ def parse_comments(comments: DataFrame, markup: str = "text") -> DataFrame:
         F.col("_pay.min").alias("salary_min"), F.col("_pay.max").alias("salary_max"), F.col("_pay.currency").alias("salary_currency"),
         body.alias("description"), F.col("_f.links").alias("links"), F.concat(labels, text.tech_tags(body)).alias("tags"),
     )
-    is_one = F.col("_f.company").isNotNull() & (F.col("_readable") != "") & text.is_posting(F.col("_readable"))
-    return df.withColumn("posting", F.when(is_one, posting)).drop("_readable", "_f", "_body", "_remote", "_kind", "_pay")
+    return df.withColumn("posting", posting if only_postings else F.when(F.col("_is_one"), posting)).drop("_is_one", "_readable", "_f", "_body", "_remote", "_kind", "_pay", "_role", "_whole", "_paytext")
 
 
 def to_items(postings: DataFrame, source: str, web: str) -> DataFrame:
-    """Items of rows (comment_id, thread_id, posted_at, posting); web is the page url with {id}."""
-    p = postings.where(F.col("posting").isNotNull())
+    """Items of rows (comment_id, thread_id, posted_at, posting), none of them null; web is the page url with {id}."""
     page = F.replace(F.lit(web), F.lit("{id}"), F.col("comment_id").cast("string"))
     more = F.slice("posting.links", 2, 1 << 20)
     body = F.when(F.size("posting.links") > 1, F.concat(F.col("posting.description"), F.lit("\n\nLinks:\n"), F.array_join(more, "\n"))).otherwise(F.col("posting.description"))
     raw = F.to_json(F.struct("comment_id", "thread_id", F.col("posting.links").alias("links"), page.alias("page")))
-    return p.select(
+    return postings.select(
         F.lit(source).alias("source"), F.col("comment_id").cast("string").alias("external_id"), F.coalesce(F.try_element_at("posting.links", F.lit(1)), page).alias("url"),
         text.normalise_ws(F.col("posting.role")).alias("title"), text.normalise_ws(F.col("posting.company")).alias("company"), "posting.location", "posting.remote", "posting.employment_type",
         "posting.salary_min", "posting.salary_max", "posting.salary_currency", text.truncate(text.scrub_pii(body)).alias("description"),
@@ -168,7 +176,7 @@ def comment_stage(pages: DataFrame, source: str, web: str) -> DataFrame:
     """Items of comments (text, thread_id, posted_at); deleted and dead ones go."""
     df = pages.select(_document(F.col("text"), COMMENT).alias("d"), "thread_id", "posted_at").where("d is not null and not coalesce(d.deleted, false) and not coalesce(d.dead, false)")
     df = df.select(F.col("d.id").alias("comment_id"), F.coalesce("thread_id", "d.parent_id").alias("thread_id"), "posted_at", F.col("d.text").alias("text"))
-    return to_items(parse_comments(df), source, web)
+    return to_items(parse_comments(df, only_postings=True), source, web)
 
 
 def reply_stage(pages: DataFrame, item_base: str, most: int = 400) -> DataFrame:
