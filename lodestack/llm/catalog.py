@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import language_id, mixing, packing, quality_classifier, quality_rules, sharding, simhash, token_counts, top_k, url_filter
+from lodestack.llm.shared import materialise
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -83,5 +84,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql=mixing.SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """Mixes whole documents: the mix is written with all their columns, and its rows are listed from there, as the SQL does."""
+    mixed = materialise(mixing.replicate(table(spark, sf_dir, "documents")), "mix")
     return mixed.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), F.col("copies").cast("int").alias("copies"), F.round("rate", 6).alias("rate"), "shuffle_key")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from lodestack.llm import catalog, shared
 from lodestack.llm import mixing as M
 
 
@@ -58,3 +59,14 @@ def test_large_rates_and_empty(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = M.replicate(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_mixes_whole_documents(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "materialise", lambda df, label: made.append(shared.materialise(df, label)) or made[-1], raising=False)
+    listed = catalog.QUERIES["op9_mixing"](spark, sf)
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    (mix,) = made
+    rows = mix.collect()
+    assert rows and all(all(r[c] == docs[r.doc_id][c] for c in ("text", "lang", "source", "n_chars")) for r in rows)
+    assert sorted((r.doc_id, r.copy, r.shuffle_key) for r in rows) == sorted((r.doc_id, r.copy, r.shuffle_key) for r in listed.collect())
