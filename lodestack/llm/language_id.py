@@ -5,10 +5,11 @@ distinct character 1-, 2- and 3-grams they share, over the geometric mean of how
 Nyström landmarks make it finite: grams are those of the landmarks, a text is its kernel values
 with the landmarks, and one-versus-rest kernel ridge regression is solved in that space. Because
 every kernel value is a product of presence vectors, the weights fold into one matrix of grams by
-classes, and scoring is a batched matrix product of presence vectors with it.
+classes, and scoring sums its rows over the grams that a text has.
 
 The fit takes a bounded sample: PER_CLASS rows of each class in expectation, chosen by a hash of
-their id, each of at most SAMPLE_CHARS characters. Scoring reads every whole text.
+their id, each of at most SAMPLE_CHARS characters. Every labelled class is learned, whatever its
+script. Scoring reads every whole text.
 
 Edge cases: a text that is null or has no letter gets ``und`` with score 0; repeated rows are
 scored alike; ids may be null; other columns travel along, but lang_pred and score are replaced;
@@ -18,7 +19,7 @@ without any labelled row every text is ``und``; an empty table gives an empty re
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,62 +27,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import append_columns, crc_mod
+from lodestack.llm.shared import append_columns, crc_mod, materialise
 
 PER_CLASS = 300
 LANDMARKS_PER_CLASS = 24
 SAMPLE_CHARS = 20_000
-MOST_CLASSES = 300
-MOST_CHARS = 120
+#: Class sizes of up to this many classes are broadcast.
+BROADCAST_CLASSES = 20_000
+#: Grams are numbered by a table of every possible one up to this size, else by a search among those that occur.
+DENSE = 1 << 23
 RIDGE = 0.05
 SHARPNESS = 6.0
+#: Characters that are arrays at one time.
 BATCH_CHARS = 1 << 18
+#: Grams that are looked up at one time.
+BLOCK = 1024
 LETTER = re.compile(r"[^\W\d_]")
 
 
 class Grams:
-    """Dense numbers of the n-grams of a set of texts; characters outside its alphabet are one character."""
+    """Numbers of the n-grams of a set of texts, over all their characters; any other character is one that no gram has."""
 
     def __init__(self, texts: list[str]):
-        chars = [c for c, _ in Counter("".join(texts)).most_common(MOST_CHARS)]
-        self.size = len(chars) + 2  # 0: any other character, 1: between texts
-        self.code = np.zeros(0x3000, np.int32)
-        for k, c in enumerate(sorted(chars)):
-            if ord(c) < len(self.code):
-                self.code[ord(c)] = k + 2
-        codes = np.unique(np.concatenate([self._grams(self._chars([t]))[0] for t in texts]))
-        a = self.size
-        self.table = np.full(a + a * a + a * a * a, len(codes), np.int32)  # the last number: no gram of the landmarks
-        digits = [codes[codes < a], codes[(codes >= a) & (codes < a + a * a)] - a, codes[codes >= a + a * a] - a - a * a]
-        inside = np.concatenate([(d % a != 1) & (d // a % a != 1) & (d // (a * a) != 1) if k == 2 else (d % a != 1) & (d // a != 1) if k == 1 else d != 1 for k, d in enumerate(digits)])
-        codes = codes[inside]
-        self.table[:] = len(codes)
-        self.table[codes] = np.arange(len(codes))
-        self.count = len(codes)
-
-    def _chars(self, texts: list[str]) -> np.ndarray:
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        return self.code[np.where(points < len(self.code), points, 0)]
-
-    def _grams(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of all grams of a row of characters, as one array and the lengths of its first two parts."""
-        a = self.size
+        chars = np.unique(np.concatenate([np.unique(_points(t)) for t in texts]))
+        self.size = a = len(chars) + 1  # 0: any other character
+        dense = a + a * a + a * a * a <= DENSE
+        self.code = np.zeros(int(chars[-1]) + 2, np.int32 if dense else np.int64)
+        self.code[chars] = np.arange(1, a)
+        self.codes, held = np.zeros(0, self.code.dtype), []
+        for k, t in enumerate(texts):
+            held.append(np.unique(self._grams(t)))
+            if k + 1 == len(texts) or sum(map(len, held)) > 1 << 22:
+                self.codes, held = np.unique(np.concatenate([self.codes, *held])), []
+        self.count = len(self.codes)
+        self.table = None
+        if dense:
+            self.table = np.full(a + a * a + a * a * a, self.count, np.int32)  # the last number: no gram of the landmarks
+            self.table[self.codes] = np.arange(self.count)
+
+    def _grams(self, text: str) -> np.ndarray:
+        """Codes of all grams of a text."""
+        a, c = self.size, self.code[np.minimum(_points(text), len(self.code) - 1)]
         two = c[:-1] * a + c[1:]
         three = two[:-1] * a + c[2:] if len(c) > 2 else two[:0]
-        return np.concatenate((c, two + a, three + a + a * a)), len(c), len(two)
+        return np.concatenate((c, two + a, three + a + a * a))
+
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[codes]
+        at = np.minimum(np.searchsorted(self.codes, codes), self.count - 1)
+        return np.where(self.codes[at] == codes, at, self.count)
+
+    def within(self, text: str) -> np.ndarray:
+        """Numbers of the grams that a text has, in order; a long one is read in windows that overlap by two characters."""
+        seen = np.zeros(self.count + 1, bool)
+        for at in range(0, len(text), BATCH_CHARS - 2):
+            seen[self._numbers(self._grams(text[at : at + BATCH_CHARS]))] = True
+        return np.flatnonzero(seen[: self.count])
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """A row of 0 and 1 for each text."""
-        ends = np.cumsum([len(t) + 2 for t in texts])
-        c = self._chars([t + "  " for t in texts])
-        for back in (1, 2):
-            c[ends - back] = 1
-        grams, n1, n2 = self._grams(c)
-        doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-        doc = np.concatenate((doc, doc[:n2], doc[: len(grams) - n1 - n2]))
-        found = np.zeros((len(texts), self.count + 1), np.uint8)
-        found[doc, self.table[grams]] = 1
-        return found[:, : self.count].astype(np.float32)
+        found = np.zeros((len(texts), self.count), np.float32)
+        for row, t in zip(found, texts, strict=True):
+            row[self.within(t)] = 1
+        return found
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 @dataclass
@@ -90,15 +103,13 @@ class Model:
     grams: Grams | None
     weights: np.ndarray | None  # grams by classes
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if max(map(len, texts)) <= BATCH_CHARS:
-            seen = self.grams.presence(texts)
-        else:  # a text that stands alone, in windows that overlap by two characters
-            (text,) = texts
-            seen = self.grams.presence([text[:BATCH_CHARS]])
-            for at in range(BATCH_CHARS - 2, len(text), BATCH_CHARS - 2):
-                np.maximum(seen, self.grams.presence([text[at : at + BATCH_CHARS]]), out=seen)
-        return (seen @ self.weights) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        out = []
+        for text in texts:
+            seen = self.grams.within(text)
+            total = sum(self.weights[seen[at : at + BLOCK]].sum(axis=0, dtype=np.float64) for at in range(0, max(1, len(seen)), BLOCK))
+            out.append(total / np.sqrt(max(len(seen), 1)))
+        return np.array(out)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Class and score from 0 to 1 of each text."""
@@ -106,58 +117,73 @@ class Model:
         if not self.classes:
             return label, score
         todo = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
-        at = 0
-        while at < len(todo):
-            end, size = at, 0
-            while end < len(todo) and (end == at or size + len(texts[todo[end]]) <= BATCH_CHARS // 2) and end - at < 128:
-                size += len(texts[todo[end]])
-                end += 1
-            s = self.scores([texts[k].lower() for k in todo[at:end]]) * SHARPNESS
+        for at in range(0, len(todo), 128):
+            s = self.scores(texts[k].lower() for k in todo[at : at + 128]) * SHARPNESS
             p = np.exp(s - s.max(axis=1, keepdims=True))
             best = p.argmax(axis=1)
-            for k, b, q in zip(todo[at:end], best.tolist(), (p.max(axis=1) / p.sum(axis=1)).tolist(), strict=True):
+            for k, b, q in zip(todo[at : at + 128], best.tolist(), (p.max(axis=1) / p.sum(axis=1)).tolist(), strict=True):
                 label[k], score[k] = self.classes[b], q
-            at = end
         return label, score
 
 
 def fit_texts(texts: list[str], labels: list[str]) -> Model:
     """Kernel ridge regression on labelled texts; the first texts of each class are its landmarks."""
     pairs = [(t.lower(), c) for t, c in zip(texts, labels, strict=True) if t and LETTER.search(t)]
-    classes = sorted({c for _, c in pairs})
+    by_class: dict[str, list[str]] = {}
+    for t, c in pairs:
+        by_class.setdefault(c, []).append(t)
+    classes = sorted(by_class)
     if not classes:
         return Model([], None, None)
-    marks = [t for c in classes for t in [t for t, d in pairs if d == c][:LANDMARKS_PER_CLASS]]
+    marks = [t for c in classes for t in by_class[c][:LANDMARKS_PER_CLASS]]
     grams = Grams(marks)
-
-    def unit(some: list[str]) -> np.ndarray:
-        rows = np.concatenate([grams.presence(some[k : k + 64]) for k in range(0, len(some), 64)])
-        return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
-
-    m = unit(marks)
-    kernel = np.concatenate([unit([t for t, _ in pairs[k : k + 256]]) @ m.T for k in range(0, len(pairs), 256)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((m @ m.T).astype(np.float64))
+    seen = [grams.within(t) for t in marks]
+    norm = 1 / np.sqrt(np.maximum([len(ids) for ids in seen], 1))
+    flat = np.concatenate(seen)
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(marks)), [len(ids) for ids in seen])[order]  # landmarks of each gram, gram by gram
+    ends = np.searchsorted(flat[order], np.arange(grams.count), side="right")
+    sizes = np.diff(ends, prepend=0)
+
+    def kernel(ids: np.ndarray) -> np.ndarray:
+        shared = np.zeros(len(marks), np.int64)
+        for at in range(0, len(ids), BLOCK):
+            some = ids[at : at + BLOCK]
+            n = sizes[some]
+            shared += np.bincount(holders[np.repeat(ends[some] - np.cumsum(n), n) + np.arange(n.sum())], minlength=len(marks))
+        return shared * norm / np.sqrt(max(len(ids), 1))
+
+    values, vectors = np.linalg.eigh(np.array([kernel(ids) for ids in seen]))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # the landmark kernel to the power -1/2, up to a rotation
-    phi = kernel @ root
-    own = np.array([classes.index(c) for _, c in pairs])
-    goal = np.where(own[:, None] == np.arange(len(classes)), 1.0, -1.0)
+    number = {c: k for k, c in enumerate(classes)}
+    own = np.array([number[c] for _, c in pairs])
     even = 1.0 / np.bincount(own, minlength=len(classes))[own][:, None]  # classes weigh the same
-    solved = np.linalg.solve(phi.T @ (phi * even) + RIDGE / len(pairs) * np.eye(len(marks)), phi.T @ (goal * even))
-    return Model(classes, grams, (m.T @ (root @ solved)).astype(np.float32))
+    square, right = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(classes)))
+    for k in range(0, len(pairs), 256):
+        phi = np.array([kernel(grams.within(t)) for t, _ in pairs[k : k + 256]]) @ root
+        goal = np.where(own[k : k + 256, None] == np.arange(len(classes)), 1.0, -1.0)
+        square += phi.T @ (phi * even[k : k + 256])
+        right += phi.T @ (goal * even[k : k + 256])
+    pull = root @ np.linalg.solve(square + RIDGE / len(pairs) * np.eye(len(marks)), right) * norm[:, None]
+    weights = np.zeros((grams.count, len(classes)), np.float32)
+    for ids, row in zip(seen, pull, strict=True):
+        weights[ids] += row.astype(np.float32)
+    return Model(classes, grams, weights)
 
 
 def fit(df: DataFrame, where: Column) -> Model:
     """Fit on a sample of df (doc_id, text, lang) within a condition."""
     usable = df.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_CLASSES).collect()
-    if not sizes:
+    sizes = materialise(usable.groupBy("lang").count(), "classes")
+    classes = sizes.count()
+    if not classes:
         return Model([], None, None)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_CLASS / r["count"]))).otherwise(share)
+    if classes <= BROADCAST_CLASSES:
+        sizes = F.broadcast(sizes)
     drawn = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    most = 2 * PER_CLASS * len(sizes)
-    rows = usable.where(drawn < share).select("lang", "text", F.xxhash64(F.lit(9), F.col("doc_id")).alias("h")).orderBy("h", "lang", "text").limit(most).collect()
+    share = F.least(F.lit(1.0), F.lit(float(PER_CLASS)) / F.col("count"))
+    most = 2 * PER_CLASS * classes
+    rows = usable.select("doc_id", "lang", "text").join(sizes, "lang").where(drawn < share).select("lang", "text", F.xxhash64(F.lit(9), F.col("doc_id")).alias("h")).orderBy("h", "lang", "text").limit(most).collect()
     return fit_texts([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lodestack.llm import language_id as L
@@ -37,6 +39,30 @@ def test_presence_is_the_set_of_grams():
     assert g.presence(texts).sum(axis=1).tolist() == own
 
 
+def test_scripts_beyond_a_small_alphabet():
+    rng = random.Random(4)
+    scripts = {"ja": (0x3041, 80), "zh": (0x4E00, 400), "ko": (0xAC00, 400), "ru": (0x430, 32), "el": (0x3B1, 24), "ar": (0x627, 30), "hi": (0x905, 50), "got": (0x10330, 26)}
+    made = [(c, " ".join("".join(chr(start + rng.randrange(n)) for _ in range(4)) for _ in range(40))) for c, (start, n) in scripts.items() for _ in range(12)]
+    held = [x for k, x in enumerate(made) if k % 3 == 0]
+    model = L.fit_texts([t for k, (_, t) in enumerate(made) if k % 3], [c for k, (c, _) in enumerate(made) if k % 3])
+    assert model.predict([t for _, t in held])[0] == [c for c, _ in held]
+
+
+def test_both_numberings_agree(monkeypatch):
+    texts = ["abcab \0é", "xyz a", "日本", ""]
+    dense = L.Grams(texts[:3])
+    monkeypatch.setattr(L, "DENSE", 0)
+    sparse = L.Grams(texts[:3])
+    assert sparse.table is None and dense.count == sparse.count and (dense.presence(texts) == sparse.presence(texts)).all()
+
+
+def test_every_class_is_learned(spark):
+    rows = [(k, f"l{k % 310}", f"w{chr(0x4E00 + k % 310)} x{chr(0x4E00 + k % 310)}") for k in range(620)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = L.fit(df, F.lit(True))
+    assert len(model.classes) == 310 and model.predict([t for _, _, t in rows[:310]])[0] == [c for _, c, _ in rows[:310]]
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rows = Q.scores(docs, labels).join(labels, "doc_id").where("held_out").collect()
