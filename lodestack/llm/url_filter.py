@@ -56,11 +56,12 @@ def alias_key(url: Column) -> Column:
 
 def targets(html: Column) -> Column:
     """Array of the link texts that html names as redirect or canonical; empty texts left out."""
-    canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>""", 0)
-    found = F.array(
-        F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1),
-        F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)""", 1),
+    rel = r"""(?is)\brel\s*=\s*(?:"[^"]*(?<![^\s"])canonical(?![^\s"])|'[^']*(?<![^\s'])canonical(?![^\s'])|canonical(?![^\s>/]))"""
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda tag: tag.rlike(rel))
+    refresh = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""), 0)
+    found = F.concat(
+        F.transform(links, lambda tag: F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)),
+        F.transform(refresh, lambda tag: F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)""", 1)),
     )
     return F.filter(F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))), lambda x: x != "")
 

@@ -34,6 +34,19 @@ def test_decisions_reach_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow", 8: "allow", 9: "block", 10: "block"}
 
 
+def test_every_link_of_a_page_is_an_edge(spark):
+    rows = [
+        (1, "http://a.com/1", "<meta http-equiv=refresh content='300'><meta http-equiv=refresh content='0; url=http://bad.net/1'>"),
+        (2, "http://a.com/2", "<link rel=canonical><link rel=canonical href='http://bad.net/2'>"),
+        (3, "http://a.com/3", "<link href='http://bad.net/3' rel='alternate canonical'>"),
+        (4, "http://a.com/4", "<link rel=canonical href='http://a.com/5'><link rel='canonical' href='http://bad.net/4'>"), (5, "http://a.com/5", ""),
+        (6, "http://a.com/6", "<link rel='noncanonical' href='http://bad.net/6'><link rel=stylesheet href='http://bad.net/canonical'>"),
+        (7, "http://a.com/7", "<link rel=canonical/ href=http://bad.net/7><link rel=stylesheet title='canonical' href='http://bad.net/8'>"),
+        (8, "http://a.com/8", "<link rel='stylesheet' title='canonical' href='http://bad.net/8'>"),
+    ]
+    assert {i: r.verdict for i, r in verdicts(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow"}
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "http://x.net/", None, None)] * 3, S)
     assert [r.verdict for r in U.judge(df).collect()] == ["block"] * 3
