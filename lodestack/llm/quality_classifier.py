@@ -143,10 +143,11 @@ def fit_counts(counted: np.ndarray, labels: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, where: Column) -> Model:
     """Fit on labelled rows (doc_id, text; doc_id, quality) within a condition on doc_id."""
     drawn = labels.where(where & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    drawn = drawn.withColumn("h", F.xxhash64(F.lit(5), F.col("doc_id")))
+    drawn = drawn.distinct().withColumn("h", F.xxhash64(F.lit(5), F.col("doc_id")))
     half = [drawn.where(F.col("quality") == q).orderBy("h", "doc_id").limit(SAMPLE // 2) for q in (0, 1)]
     ids = half[0].union(half[1]).dropDuplicates(["doc_id"])
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # SAMPLE ids at most
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text", "quality", "h")).alias("one")).select("one.*")  # a repeated id counts once
 
     def run(batches):
         for batch in batches:

@@ -72,6 +72,16 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_sample_with_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE", 40)
+    docs = spark.range(30).selectExpr("id doc_id", "concat('text ', id, ' of words') text")
+    labels = spark.range(30).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    hot = labels.orderBy(F.xxhash64(F.lit(5), F.col("doc_id"))).first().doc_id
+    copies = spark.range(500).selectExpr(f"{hot}L doc_id", "concat('copy ', id % 100) text")
+    model = Q.fit(docs.union(copies), labels, F.lit(True))
+    assert sorted(model.labels.tolist()) == [0.0] * 15 + [1.0] * 15
+
+
 def test_quality_odd_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     extra = spark.createDataFrame([(None, "x"), (-1, None), (-2, ""), (-2, ""), (-3, " \n"), (-4, "w" * 100000)], "doc_id long, text string")
