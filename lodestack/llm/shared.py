@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 #: Rows of a batch that are Python objects at one time.
 ROWS = 1000
+#: Hashes of rows that repeat are broadcast up to this number (40 bytes each before hashing).
+BROADCAST_REPEATS = 200_000
+#: Numbers of equal rows that are made in one step.
+CHUNK = 1 << 16
 #: Words are separated by exactly these characters, as bytes.split() does.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,34 +56,81 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all folders that materialise() made in this process; results that read them are lost."""
+def written() -> int:
+    """How many folders materialise() has made that are still there."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete what materialise() made in this process after the first since folders, but for the last keep of them; results that read them are lost."""
+    own = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
     gone = 0
-    while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for place in own:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
         gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return gone
 
 
+def stable(df: DataFrame, label: str) -> DataFrame:
+    """df, if a task that runs again meets the same rows in the same order, which scans without a shuffle above them do; else df, written."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialise(df, label) if re.search(r"Exchange|Sample|ShuffleQueryStage", plan) else df
+
+
 def hashable(df: DataFrame) -> list[str]:
     """Columns that Spark's hashes take: those without maps and variants."""
     return [f.name for f in df.schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def _text_of(name: str, kind: T.DataType, hashed: bool) -> Column:
+    """A column as text that tells its values apart: the length in bytes, a colon and the value; n for null."""
+    c = F.col(f"`{name}`")
+    text = c.cast("string")
+    if hashed and not isinstance(kind, (T.StringType, T.NumericType, T.BooleanType, T.BinaryType, T.DateType)):
+        text = F.concat(text, F.lit("/"), F.hex(F.xxhash64(c)))  # text alone may not tell moments apart
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """SHA-256 of all that a row holds, as 64 hexadecimal digits."""
+    known = set(hashable(df))
+    return F.sha2(F.concat(F.lit(""), *[_text_of(f.name, f.dataType, f.name in known) for f in df.schema]), 256)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold ROWS rows where the session has no setting of its own: texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ROWS))
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows of df as _all (struct), with _h, a hash of all they hold (binary), and _n, a number among equal rows from 1.
+
+    So every row has a name of its own that no layout changes. Hashes are counted first, which
+    shuffles nothing wider. Equal rows are folded to one with a count before anything else moves,
+    and unfolded in chunks, so a row that repeats without bound meets no task as a whole. Which
+    rows repeat is broadcast up to BROADCAST_REPEATS of them; with more, all rows are folded in
+    one aggregation.
+    """
+    packed = df.select(F.unhex(row_hash(df)).alias("_h"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"))
+    twice = materialise(packed.groupBy("_h").agg(F.count("*").alias("_c")).where("_c > 1"), "repeats")
+    n = twice.count()
+    if not n:
+        return packed.select("_all", "_h", F.lit(1).cast("long").alias("_n"))
+    if n > BROADCAST_REPEATS:
+        return _unfold(packed.groupBy("_h").agg(F.first("_all").alias("_all"), F.count("*").alias("_c")))
+    some = F.broadcast(twice)
+    single = packed.join(some, "_h", "left_anti").select("_all", "_h", F.lit(1).cast("long").alias("_n"))
+    return single.union(_unfold(packed.join(some, "_h").groupBy("_h").agg(F.first("_all").alias("_all"), F.first("_c").alias("_c"))))
+
+
+def _unfold(folded: DataFrame) -> DataFrame:
+    """_all, _h and _n = 1, ..., _c of rows (_h, _all, _c), by chunks that are dealt to tasks."""
+    spread = folded.select("*", F.explode(F.expr(f"sequence(0L, (_c - 1) div {CHUNK})")).alias("_k")).repartition(partitions(folded.sparkSession), "_h", "_k")
+    return spread.select("_all", "_h", F.explode(F.expr(f"sequence(_k * {CHUNK} + 1, least(_c, (_k + 1) * {CHUNK}))")).alias("_n"))
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def append_columns(df: DataFrame, fields: dict[str, str], fn: Callable[[list[str | None]], dict[str, pa.Array]], text: str = "text") -> DataFrame:
     """df with columns that fn makes of its texts, batch by batch; columns of df with these names are replaced."""
-    small_batches(df.sparkSession)
     base = df.drop(*fields)
     schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} {t}" for c, t in fields.items())).fields])
     at, names = base.columns.index(text), schema.names

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
-from lodestack.llm.shared import ROWS, append_columns, as_bytes, hashable, materialise, partitions, shield, small_batches
+from lodestack.llm.shared import ROWS, append_columns, as_bytes, hashable, materialise, partitions, shield
 
 LEAF = 8192
 GROUP = 16
@@ -61,7 +61,6 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

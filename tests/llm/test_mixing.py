@@ -23,7 +23,28 @@ def test_defaults_keep_null_sources_and_ids(spark):
     shares = {None: math.sqrt(200), "a": math.sqrt(50), "b": 20.0}
     assert all(abs(rates[s] - 650 * w / sum(shares.values()) / {None: 200, "a": 50, "b": 400}[s]) < 1e-9 for s, w in shares.items())
     seen = Counter(r.source for r in M.replicate(df).collect())
-    assert seen[None] and seen["a"] % 50 == 0  # equal ids draw alike
+    assert seen[None] and seen["a"]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_rows_without_an_id_and_equal_rows_draw_on_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(shared, "BROADCAST_REPEATS", most)
+    monkeypatch.setattr(shared, "CHUNK", 100)
+    texts = [None] * 600 + [f"t{k}" for k in range(1000)] + ["one"] + ["two"] * 2
+    df = spark.createDataFrame([(None, "a", t) for t in texts], "doc_id long, source string, text string")
+    rows = M.replicate(df).collect()
+    n = Counter(r.text is None for r in rows)
+    assert 480 < n[True] < 720 and 850 < n[False] < 1160
+    assert Counter(r.shuffle_key for r in rows).most_common(1)[0][1] == 1
+    assert abs(sum(r.copies == 1 for r in rows if r.text is None) / 600 - math.exp(-1)) < 0.08
+    assert sorted(map(str, rows)) == sorted(map(str, M.replicate(df.repartition(7)).collect()))
+    parts = Counter(r.p for r in M.replicate(df).selectExpr("spark_partition_id() p").collect())
+    assert len(parts) == 4 and max(parts.values()) < 2 * min(parts.values())
+
+
+def test_equal_moments_are_told_apart(spark):
+    df = spark.sql("select timestamp_micros(1 + id) t, array(timestamp_micros(id)) a, map('k', id) m, cast(null as string) source, 1 doc_id from range(40)")
+    assert {r.t for r in M.replicate(df, size=400).select("t").collect()} == {r.t for r in df.collect()}
 
 
 def test_shuffled_and_repeatable(spark, sf):
@@ -37,7 +58,7 @@ def test_shuffled_and_repeatable(spark, sf):
 def test_join_without_broadcast(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
     want = sorted(tuple(r) for r in M.replicate(docs).collect())
-    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
     assert sorted(tuple(r) for r in M.replicate(docs).collect()) == want
 
 
