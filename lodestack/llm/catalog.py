@@ -35,7 +35,7 @@ def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = F.coalesce(F.col("text"), F.lit(""))
-    return sharding.shuffle_into_shards(docs, "doc_id", shards=16).select(
+    return sharding.shuffle_into_shards(docs, shards=16).select(
         "doc_id",
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
