@@ -8,15 +8,18 @@ search stops once the bound is below the k-th best score found; pivots that are
 first such score. Bounds carry a margin above their rounding error, scores are exact integers, so
 the result is exact.
 
-Vectors are packed into blocks of BLOCK rows and queries into blocks of about QUERY_BLOCK, dealt by
-a hash. Each pair of blocks is a row; it reports its k best for each query, and a window keeps the
-k best of those. Query blocks are broadcast up to BROADCAST_BYTES and joined by a salted key beyond.
+Vectors are packed into blocks of BLOCK rows, which stay where they are: a task reads the blocks of
+its partition one after the other and carries the k best of every query along, so what earlier
+blocks found bounds the search of later ones. Queries are handed to the tasks in groups of
+GROUP_BYTES at most; each group is one pass over the blocks. A task reports k rows for each query,
+and a window keeps the k best of those; nothing else is shuffled.
 
 Edge cases: rows without an id, with a null or empty vector, or with a null or non-finite component
 take no part; vectors are compared with those of the same length only; repeated rows are candidates
-each; a query id that repeats is searched once, with its smallest vector; ties go to the smaller
-vec_id; other columns are ignored; an empty table gives an empty result. Scores beyond a long are
-cut to its range.
+each; a query id that repeats is searched once, with its smallest vector, and no row of that id is
+a candidate of it, since the id is what makes a row the query's own; ties go to the smaller vec_id;
+other columns are ignored; an empty table gives an empty result. Scores beyond a long are cut to
+its range.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestack.llm.shared import materialise, partitions
+from lodestack.llm.shared import materialise
 
 PIVOTS = 48
 BLOCK = 4096
-QUERY_BLOCK = 256
-BROADCAST_BYTES = 64 << 20
+#: Queries that are handed to the tasks at one time, with their pivot distances.
+GROUP_BYTES = 32 << 20
 SCALE = 1024
 #: Floating point sums of integers are exact below this.
 EXACT = float(1 << 53)
@@ -86,25 +89,33 @@ class _Pivots:
         return self.ids.get(dim, np.array([], np.int64)), self.vectors.get(dim, np.empty((0, dim)))
 
 
-def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, query_id: int, q: np.ndarray, row: np.ndarray, least: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of a block for one query, or those of them that reach least.
+def search(ids: np.ndarray, x: np.ndarray, table: np.ndarray, query_id: int, q: np.ndarray, row: np.ndarray, least: int | None, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best (ids, scores) of a block for one query, or those of them that reach least; and how many were evaluated.
 
     table and row are the pivot distances of the block and of the query.
     """
-    bound = (table - row) ** 2
-    bound = (table[:, -1] ** 2 + row[-1] ** 2 - bound.max(axis=1)) / 2
-    margin = 1e-9 * (table[:, -1] ** 2 + row[-1] ** 2) + 1e-6
-    bound = bound + margin
+    far, step_of = np.zeros(len(ids)), np.empty(len(ids))
+    for c, r in zip(table.T, row, strict=True):
+        np.subtract(c, r, out=step_of)
+        np.abs(step_of, out=step_of)
+        np.maximum(far, step_of, out=far)
+    squares = table[:, -1] ** 2 + row[-1] ** 2
+    bound = (squares - far * far) / 2 + 1e-9 * squares + 1e-6
     todo = np.flatnonzero((ids != query_id) & ((bound >= least) if least is not None else True))
     todo = todo[np.argsort(-bound[todo], kind="stable")]
     best_ids, best, at, step = ids[:0], np.array([], np.int64), 0, 4 * k
     while at < len(todo) and (len(best) < k or bound[todo[at]] >= best[-1]):
         own = todo[at : at + step]
-        best_ids, best = np.concatenate((best_ids, ids[own])), np.concatenate((best, _products(x[own], q)))
-        order = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[order], best[order]
-        at, step = at + step, 2 * step
-    return best_ids, best
+        best_ids, best = merged(best_ids, best, ids[own], _products(x[own], q), k)
+        at, step = at + len(own), 2 * step
+    return best_ids, best, at
+
+
+def merged(ids: np.ndarray, scores: np.ndarray, more_ids: np.ndarray, more: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of both, best first; ties by id."""
+    ids, scores = np.concatenate((ids, more_ids)), np.concatenate((scores, more))
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
 
 
 def _pivot_rows(rows: DataFrame, n: int) -> list[tuple[int, list[float]]]:
@@ -135,7 +146,7 @@ def _packed(rows: DataFrame, pivots) -> DataFrame:
                             "dim": pa.array([dim], pa.int32()),
                             "ids": pa.array([ids[pick].tobytes()], pa.binary()),
                             "vectors": pa.array([x.tobytes()], pa.binary()),
-                            "distances": pa.array([_distances(x, pivots.value.of(dim)[1]).tobytes()], pa.binary()),
+                            "distances": pa.array([_distances(x, pivots.value.of(dim)[1]).T.tobytes()], pa.binary()),
                         }
                     )
                     seq += 1
@@ -143,57 +154,78 @@ def _packed(rows: DataFrame, pivots) -> DataFrame:
     return rows.mapInArrow(run, "key long, dim int, ids binary, vectors binary, distances binary")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best candidates of every query."""
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    pivots = spark.sparkContext.broadcast(_Pivots(_pivot_rows(rows, n_pivots)))  # n_pivots rows at most
-    blocks = materialise(_packed(rows, pivots), "pivot-table")
-    asked = materialise(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    n = asked.count()
-    lanes = max(1, -(-n // QUERY_BLOCK))
-    lane = F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(lanes)).cast("int")
-
-    def block(group: pa.Table) -> pa.Table:
-        lane_id, ids, found = group.column("lane")[0], group.column("vec_id").to_pylist(), group.column("embedding").to_pylist()
-        out: dict[str, list] = {"lane": [], "dim": [], "q_ids": [], "q_vectors": []}
-        for dim in sorted({len(v) for v in found}):
-            own = sorted((i, v) for i, v in zip(ids, found, strict=True) if len(v) == dim)
-            for c, v in zip(out, (lane_id.as_py(), dim, np.array([i for i, _ in own], np.int64).tobytes(), integers([v for _, v in own]).tobytes()), strict=True):
-                out[c].append(v)
-        return pa.table({"lane": pa.array(out["lane"], pa.int32()), "dim": pa.array(out["dim"], pa.int32()), "q_ids": pa.array(out["q_ids"], pa.binary()), "q_vectors": pa.array(out["q_vectors"], pa.binary())})
-
-    queries = asked.withColumn("lane", lane).groupBy("lane").applyInArrow(block, "lane int, dim int, q_ids binary, q_vectors binary")
-    each = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(4 * partitions(spark), "key", "lane")
-    dims = max([len(v) for vs in pivots.value.vectors.values() for v in vs[:1]], default=0)
-    if n * (dims + 2) * 8 <= BROADCAST_BYTES:
-        pairs = each.join(F.broadcast(queries), ["lane", "dim"])
-    else:
-        salts = max(1, -(-4 * partitions(spark) // lanes))
-        salted = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = each.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["lane", "dim", "salt"])
+class _Queries:
+    """A group of queries by the length of their vectors, with their pivot distances."""
+
+    def __init__(self, rows: list, pivots: _Pivots):
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for dim in {len(r["embedding"]) for r in rows}:
+            own = [r for r in rows if len(r["embedding"]) == dim]
+            x = integers([r["embedding"] for r in own])
+            self.by[dim] = (np.array([r["vec_id"] for r in own], np.int64), x, _distances(x, pivots.of(dim)[1]))
+
+
+def _searched(blocks: DataFrame, queries, pivots, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each task for every query of a group; evaluated: products of the query in that task, on its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple]] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 dim = r["dim"]
-                ids, q_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
-                x, q = np.frombuffer(r["vectors"]).reshape(-1, dim), np.frombuffer(r["q_vectors"]).reshape(-1, dim)
-                table = np.frombuffer(r["distances"]).reshape(len(ids), -1)
+                if dim not in queries.value.by:
+                    continue
+                q_ids, q, to = queries.value.by[dim]
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, dim)
+                table = np.frombuffer(r["distances"]).reshape(-1, len(ids)).T
                 pivot_ids, pivot = pivots.value.of(dim)
-                to = _distances(q, pivot)
-                out_q, out_i, out_s = [], [], []
-                for i, own, row in zip(q_ids.tolist(), q, to, strict=True):
-                    seen = np.sort(_products(pivot[pivot_ids != i], own))
-                    found, score = search(ids, x, table, i, own, row, int(seen[-k]) if len(seen) >= k else None, k)
-                    out_q.append(np.full(len(found), i))
-                    out_i.append(found)
-                    out_s.append(score)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.concatenate(out_q), pa.int64()), "vec_id": pa.array(np.concatenate(out_i), pa.int64()), "score": pa.array(np.concatenate(out_s), pa.int64())})
-
-    found = pairs.select("dim", "ids", "vectors", "distances", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+                if dim not in best:
+                    seen = [np.sort(_products(pivot[pivot_ids != i], own)) for i, own in zip(q_ids.tolist(), q, strict=True)]
+                    best[dim] = [(ids[:0], np.array([], np.int64), 0, int(s[-k]) if len(s) >= k else None) for s in seen]
+                for at, (i, own, row) in enumerate(zip(q_ids.tolist(), q, to, strict=True)):
+                    own_ids, scores, done, least = best[dim][at]
+                    found, more, n = search(ids, x, table, i, own, row, least, k)
+                    own_ids, scores = merged(own_ids, scores, found, more, k)
+                    if len(scores) == k and (least is None or scores[-1] > least):
+                        least = int(scores[-1])
+                    best[dim][at] = own_ids, scores, done + n, least
+        for dim, found in best.items():
+            sizes = [len(f[0]) for f in found]
+            count = np.zeros(sum(sizes), np.int64)
+            starts = np.cumsum(sizes) - sizes
+            for at, n, f in zip(starts.tolist(), sizes, found, strict=True):
+                if n:
+                    count[at] = f[2]
+            columns = {"query_id": np.repeat(queries.value.by[dim][0], sizes), "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found]), "evaluated": count}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in columns.items()})
+
+    return blocks.select("dim", "ids", "vectors", "distances").mapInArrow(run, "query_id long, vec_id long, score long, evaluated long")
+
+
+def candidates(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = PIVOTS) -> DataFrame:
+    """What tasks report: query_id, vec_id, score, evaluated."""
+    spark = vectors.sparkSession
+    rows = usable(vectors)
+    pivots = spark.sparkContext.broadcast(_Pivots(_pivot_rows(rows, n_pivots)))  # n_pivots rows at most
+    tasks = spark.sparkContext.defaultParallelism
+    spread = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+    blocks = materialise(_packed(spread, pivots), "pivot-table")
+    asked = materialise(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    size = asked.agg(F.coalesce(F.sum(8 * (F.size("embedding") + n_pivots + 2)), F.lit(0))).first()[0]
+    groups = max(1, -(-size // GROUP_BYTES))
+    out = None
+    for g in range(groups):
+        some = asked.where(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(groups)) == g).collect()  # about GROUP_BYTES
+        found = _searched(blocks, spark.sparkContext.broadcast(_Queries(some, pivots.value)), pivots, k)
+        found = found if groups == 1 else materialise(found, "group")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of the k best candidates of every query."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = candidates(vectors, is_query, k, n_pivots).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

@@ -22,7 +22,6 @@ def brute(rows, k=10):
 @pytest.mark.parametrize("block", [7, 4096])
 def test_odd_rows_against_brute_force(spark, monkeypatch, block):
     rng = random.Random(block)
-    monkeypatch.setattr(K, "QUERY_BLOCK", 3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(900)]
     rows += [(1000 + i, [0.5, -0.25, 0.125, 1.0, 2.0]) for i in range(60)]  # ties
     rows += [(2000, None), (2001, []), (2100, [1.0, None, 2.0, 0.0, 0.0]), (2200, [math.nan] * 5), (2300, [math.inf, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 5)]
@@ -34,10 +33,9 @@ def test_odd_rows_against_brute_force(spark, monkeypatch, block):
     assert real is K._packed and got == brute(rows)
 
 
-def test_shuffled_join_path(spark, monkeypatch):
+def test_groups_of_queries(spark, monkeypatch):
     rng = random.Random(5)
-    monkeypatch.setattr(K, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(K, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(K, "GROUP_BYTES", 800)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(500)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in K.top_k(df, F.col("vec_id") % 100 == 0).collect()) == brute(rows)
@@ -49,6 +47,19 @@ def test_huge_components_saturate(spark):
     assert got[1] == K.LONG
 
 
+def test_blocks_stay_and_share_of_candidates(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) + 30 * (i % 4) for _ in range(3)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    share = []
+    for block in (2000, 100):
+        monkeypatch.setattr(K, "BLOCK", block)
+        found = K.candidates(df, F.col("vec_id") % 100 == 0, n_pivots=8)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        share.append(found.agg(F.sum("evaluated")).first()[0] / (20 * 1999))
+    assert all(0 < s < 0.6 for s in share)
+
+
 def test_pruning_skips_candidates():
     import numpy as np
 
