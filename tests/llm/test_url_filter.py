@@ -1,3 +1,9 @@
+from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlsplit
+
+import duckdb
+import pytest
+
 from lodestack.llm import url_filter as U
 
 S = "page_id long, url string, html string, verdict string"
@@ -18,7 +24,7 @@ def test_hosts_paths_and_rules(spark):
         5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("x.org", "/fr/2", "org/fr/", "allow"), 8: ("org", "", None, "allow"), 9: ("notexample.com", "/de/", None, "allow"),
         10: ("example.net", "/enx/", "net/", "block"), 11: ("É.net", "/É/\n", "net/", "block"), 12: ("", "", None, "allow"),
     }
-    # 2 has no rule (its path does not start with /), but differs from 3 only in a closing slash
+    # 2 has no rule (its path does not start with /), but is the same url as 3 by the syntax of URIs
     assert {i: (r.host, r.path, r.rule, r.verdict) for i, r in got.items()} == want
 
 
@@ -47,6 +53,121 @@ def test_every_link_of_a_page_is_an_edge(spark):
     assert {i: r.verdict for i, r in verdicts(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow"}
 
 
+BASE = "http://a.com/b/c/d?q"
+# The examples of RFC 3986, section 5.4, of references that lead to a host, and some more.
+REFERENCES = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "g?y#s", ";x", "g;x", "", ".", "./", "..", "../", "../g", "../..", "../../", "../../g", "../../../g", "/./g", "/../g", "g.", ".g", "g..", "..g", "./../g", "./g/.", "g/./h", "g/../h", "g;x=1/../y", "g?y/./x", "/share?u=https://evil.net/", "https://x.org/fr/../z"]
+
+
+def test_references_are_resolved_by_the_rules(spark):
+    df = spark.createDataFrame([(b, r) for b in (BASE, "https://a.com", "http://a.com?x") for r in REFERENCES], "b string, r string")
+    rows = df.select("b", "r", U.node_of(U.resolved(df.b, df.r)).alias("node")).collect()
+
+    def want(b, r):
+        to = urlsplit(urldefrag(urljoin(urljoin(b, "/") if not urlsplit(b).path and not urlsplit(b).query else b, r)).url)
+        return to._replace(path=urlsplit(urljoin("http://h/", to.path or "/")).path or "/").geturl()
+
+    assert {(r.b, r.r): r.node for r in rows if r.b == BASE} == {(BASE, r): want(BASE, r) for r in REFERENCES}
+    other = {(r.b, r.r): r.node for r in rows}
+    assert other["https://a.com", "../g"] == "https://a.com/g" and other["http://a.com?x", ""] == "http://a.com/?x" and other["http://a.com?x", "?y"] == "http://a.com/?y"
+    slashes = spark.createDataFrame([("share/https://evil.net/",)], "r string")
+    assert slashes.select(U.resolved(U.F.lit(BASE), slashes.r)).first()[0] == "http://a.com/b/c/share/https://evil.net/"
+    schemes = spark.createDataFrame([("mailto:x@bad.net",), ("javascript:void(0)",)], "r string")
+    assert [r[0] for r in schemes.select(U.resolved(U.F.lit(BASE), schemes.r)).collect()] == [None, None]
+
+
+def test_only_links_that_count(spark):
+    bad = "<link rel=canonical href='http://bad.net/'>"
+    rows = [
+        (1, "http://a.com/1", f"<!-- {bad} -->"), (2, "http://a.com/2", f"<script>'{bad}'</script>"), (3, "http://a.com/3", f"<style>{bad}"), (4, "http://a.com/4", f"<script>'<!--'</script>{bad}"),
+        (5, "http://a.com/5", "<link rel=canonical href='/share?u=https://evil.net/'>"), (6, "http://a.com/6", '<link title="a > b" rel="canonical" href="http://bad.net/">'),
+        (7, "http://a.com/7", '<link title=\' rel="canonical" \' href="http://bad.net/">'), (8, "http://a.com/8", "<base href='http://bad.net/x/'><link rel=canonical href='y'>"),
+        (9, "http://example.com/x/y", "<meta http-equiv=refresh content='0;url=../de/1'>"), (10, "http://example.com/de", ""), (11, "http://a.com/7/", ""), (12, "http://a.com/6?utm_source=x", ""),
+        (13, "http://a.com/13", "<meta http-equiv='refresh' content='0;http://bad.net/13?a=1&amp;b=2'>"), (14, "HTTP://A.com:80/13#top", ""), (15, "http://a.com/15", "x" * 3_000_000 + "<!-- refresh " + "<link " * 20_000),
+    ]
+    got = {i: r.verdict for i, r in verdicts(spark, rows).items()}
+    assert {i for i, v in got.items() if v == "block"} == {4, 6, 8, 9, 13, 14}
+
+
+class Reader(HTMLParser):
+    """Links of a page, for comparison."""
+
+    def __init__(self, url):
+        super().__init__()
+        self.url, self.base, self.found = url, None, []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "base" and self.base is None and a.get("href"):
+            self.base = a["href"]
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split() and a.get("href"):
+            self.found.append(a["href"])
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and ";" in a.get("content", ""):
+            self.found.append(a["content"].split(";", 1)[1].strip()[4:].strip("'\""))
+
+    def targets(self):
+        return [urldefrag(urljoin(urljoin(self.url, self.base or ""), x)).url for x in self.found]
+
+
+def brute(rows):
+    def own(url):
+        parts = urlsplit(url)
+        fits = [(len(h + p), v) for v, h, p in U.RULES if (parts.netloc == h or parts.netloc.endswith("." + h)) and parts.path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    node = lambda url: urldefrag(url).url
+    group = {}
+
+    def find(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    every = set()
+    for _, url, html in rows:
+        every.add(node(url))
+        reader = Reader(url)
+        reader.feed(html or "")
+        for to in reader.targets():
+            every.add(node(to))
+            group[find(node(url))] = find(node(to))
+    flags = {}
+    for x in every:
+        flags.setdefault(find(x), set()).add(own(x))
+    fallback = lambda url: "block" if "block" in (f := flags[find(node(url))]) and "allow" not in f else "allow"
+    return {i: own(url) or fallback(url) for i, url, _ in rows}
+
+
+@pytest.fixture(scope="module")
+def tied():
+    """Pages of random hosts and links in many forms; a hub that half of them point to."""
+    import random
+
+    rng = random.Random(8)
+    hosts = ["a.com", "b.com", "c.org", "www.example.com", "bad.net", "x.example.net", "d.io"]
+    url = lambda: f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'de/', 'fr/', ''])}{rng.randrange(60)}"
+    rows = []
+    for i in range(300):
+        to = rng.choice([None, url(), url(), "http://hub.io/0" if i % 2 else None])
+        form = rng.choice(['<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="5; url={}">'])
+        rows.append((i, url(), f"<html>{form.format(to)}</html>" if to else "<p>refresh"))
+    return rows
+
+
+def test_components_against_brute_force(spark, tied):
+    rng_forms = [(1000, "http://q.com/a/b", "<link rel='canonical' href='../c'>"), (1001, "http://q.com/c", "<META HTTP-EQUIV='Refresh' CONTENT=\"0; URL='//bad.net/9'\">"), (1002, "http://q.com/d", "<base href='/a/'><link href=b rel=canonical>")]
+    rows = tied + rng_forms
+    assert {i: r.verdict for i, r in verdicts(spark, rows).items()} == brute(rows)
+
+
+def test_sql_twin_with_edges(spark, tied):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    rows = [*tied, (900, None, None), (901, "no url", ""), (902, "http://hub.io/0", None), (903, "HTTP://hub.io:80/0#x", "")]
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = {r[0]: r for r in con.execute(U.SQL).fetchall()}
+    assert {i: tuple(r) for i, r in verdicts(spark, rows).items()} == want
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, "http://x.net/", None, None)] * 3, S)
     assert [r.verdict for r in U.judge(df).collect()] == ["block"] * 3
