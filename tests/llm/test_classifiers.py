@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lodestack.llm import language_id as L
@@ -104,4 +106,76 @@ def test_long_texts_in_windows(monkeypatch):
     model = L.fit_texts(["abc abd aé", "xyz xyw!"], ["a", "x"])
     want = model.scores([text.lower()])
     monkeypatch.setattr(L, "BATCH_CHARS", 9)
-    assert (model.scores([text.lower()]) == want).all()
+    assert all((a == b).all() for a, b in zip(model.scores([text.lower()]), want, strict=True)) and 0 < want[1][0] < 1
+
+
+def grams(t):
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def test_kernel_ridge_against_sets_and_the_textbook_formula(monkeypatch):
+    monkeypatch.setattr(L, "LANDMARKS_PER_CLASS", 4)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd é日" if k % 3 else "axyz 本") for _ in range(rng.randrange(3, 30))) + "a" for k in range(40)]
+    labels = ["p" if k % 3 else "q" for k in range(40)]
+    labels[5] = "r"
+    model = L.fit_texts(texts, labels)
+    classes = sorted(set(labels))
+    marks = [t for c in classes for t in [t for t, own in zip(texts, labels) if own == c][:4]]
+    kernel = lambda a, b: np.array([[len(grams(x) & grams(y)) / (len(grams(x)) * len(grams(y))) ** 0.5 for y in b] for x in a])
+    weigh = np.diag([1 / labels.count(c) for c in labels])
+    goal = np.array([[1.0 if c == own else -1.0 for c in classes] for own in labels])
+    km, kn = kernel(marks, marks), kernel(texts, marks)
+    alpha = np.linalg.solve(kn.T @ weigh @ kn + L.RIDGE / len(texts) * km, kn.T @ weigh @ goal)
+    asked = [*texts[:10], "zzzz 日本日本", "quite another text a", "b"]
+    found, known = model.scores(asked)
+    assert np.abs(found - kernel(asked, marks) @ alpha).max() < 1e-4
+    every = set().union(*map(grams, marks))
+    assert np.allclose(known, [len(grams(t) & every) / len(grams(t)) for t in asked])
+    label, score, _ = model.predict(asked)
+    p = np.exp(L.SHARPNESS * found)
+    assert label == [classes[k] for k in found.argmax(axis=1)] and np.allclose(score, p.max(axis=1) / p.sum(axis=1))
+
+
+def test_no_letter_and_long_rows(spark):
+    long = " ".join(f"кот{k % 37} пёс" for k in range(4000))
+    rows = [(k, "ru", long + str(k)) for k in range(12)] + [(100 + k, "en", f"the cat {k} and dog") for k in range(12)] + [(500, "en", "the hot id and its copies")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = L.fit(df, F.lit(True))
+    assert model.classes == ["en", "ru"]
+    assert model.predict(["½ ² ①", "Ⅷ", "_1", "пёс и кот", "a dog"])[0] == ["und", "und", "und", "ru", "en"]
+
+
+def test_quality_vote_against_plain_loops(spark):
+    rng = random.Random(6)
+    words = [["good", "clean", "prose", "日本", "текст"], ["BUY!!", "now$$", "$$$", "click", "買う"]]
+    texts = [" ".join(rng.choice(words[k % 2] + words[rng.randrange(2)]) for _ in range(rng.randrange(2, 40))) for k in range(90)]
+    labels = np.array([1 - k % 2 for k in range(90)])
+    model = Q.fit_counts(Q.counts(texts), labels)
+    asked = texts[:12] + ["click now", "prose", "unseen ωords"]
+    got = model.score(asked)
+    for text, own in zip(asked, got, strict=True):
+        raw = Q.counts([text])[0].astype(float)
+        x = np.log1p(raw) * model.idf
+        for start, end, share in zip((0, *Q.ENDS), Q.ENDS, Q.SHARES):
+            size = sum(v * v for v in x[start:end]) ** 0.5
+            x[start:end] *= share / (size or 1)
+        v = [sum(x[t] * model.basis[t, d] for t in np.flatnonzero(x)) for d in range(model.basis.shape[1])]
+        size = sum(c * c for c in v) ** 0.5
+        near = sorted(((sum(a * b for a, b in zip(v, row)) / size, int(q)) for row, q in zip(model.vectors, labels)), reverse=True)[: Q.NEIGHBOURS]
+        weights = [max(c, 0) ** Q.SHARPNESS for c, _ in near]
+        assert abs(own - sum(w * q for w, (_, q) in zip(weights, near)) / sum(weights)) < 1e-4
+
+
+def test_quality_terms_tell_words_and_scripts_apart():
+    texts = ["The cat sat, 12 days.", "Ein dog far, 47 mice.", "日本。 🔥🔥🔥", "中国。 🔥🔥🔥", "abc def"]
+    c = Q.counts(texts)
+    assert all((c[a] != c[b]).any() for a in range(5) for b in range(a))
+    assert (c[0][: Q.ENDS[0]] == c[1][: Q.ENDS[0]]).all()  # of the same form
+
+
+def test_quality_contradicting_and_repeated_labels(spark):
+    docs = spark.range(20).selectExpr("id doc_id", "concat('text ', id) text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(0, 1), (1, 0), (2, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    model = Q.fit(docs, labels, F.lit(True))
+    assert sorted(model.labels.tolist()) == [0.0] * 9 + [1.0] * 9
