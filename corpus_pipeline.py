@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from lodestack.llm import language_id as languages
 from lodestack.llm import mixing, packing, simhash
 from lodestack.llm import quality_rules as rules
-from lodestack.llm.shared import materialise, shield
+from lodestack.llm.shared import materialise, release, shield, written
 
-#: Documents without letters are rejected; so are those that no class fits better than this.
-LEAST_LANGUAGE_SCORE = 0.26
+#: Documents without letters are rejected; so are those of whose distinct 1- to 3-grams the languages' landmarks hold less than this share.
+LEAST_KNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn languages from the labelled rows, drop what has none, and fill in missing labels."""
     model = languages.fit(docs, F.col("lang").isNotNull())
-    own, restore = shield(docs, "lang_pred", "score")
-    found = languages.identify(own, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    own, restore = shield(docs, "lang_pred", "score", "known")
+    found = languages.identify(own, model).where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
     return restore(found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
@@ -65,8 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder. Once a stage is written, what it was made from is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, before, keep=1)
     return docs
