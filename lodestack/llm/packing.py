@@ -15,6 +15,7 @@ texts are cut into full sequences and a rest.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import struct
 import zlib
@@ -33,6 +34,8 @@ from lodestack.llm.shared import materialise, partitions
 CAPACITY = 4096
 #: Intervals up to this number are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Equal pieces that share a rank window up to this number; more are dealt to several.
+CROWD = 2_000_000
 #: In a text of these characters alone, canonical composition changes nothing and white space is plain.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
 #: Longer texts are taken in parts that start at a space, which no token spans.
@@ -44,8 +47,31 @@ CACHE_WORDS = 400_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+#: What a tokenizer file must say for its texts to be split here; any other file is left to the library as a whole.
+KIND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
+def of_kind(tokenizer, kind: dict) -> bool:
+    """Whether a tokenizer's own description says what kind says, its model is plain merges, and its added tokens are special, unnormalised and start with <|."""
+    own = json.loads(tokenizer.to_str())
+    model, added = own["model"], own["added_tokens"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    return plain and all(own.get(k) == v for k, v in kind.items()) and all(t["special"] and t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space and never merges across it.
+    """Ids of texts by a tokenizer that drops white space and never merges across it; any other kind goes through the library.
 
     A run of characters between white space always has the same ids, so each is kept as packed
     little-endian 32-bit ids. A new run is lowered and split as the tokenizer does it, and its parts
@@ -59,6 +85,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.plain = of_kind(self.tok, KIND)
         self.merge = self.tok.model.tokenize
         self.find = regex.compile(SPLIT).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -91,6 +118,8 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if not self.plain:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) <= WINDOW:
             return self._encode(text)
         parts, at = [], 0
@@ -185,11 +214,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     intervals = spark.createDataFrame(placed, INTERVALS) if placed else spark.createDataFrame([], INTERVALS)
     if len(placed) <= BROADCAST_ROWS:
         intervals = F.broadcast(intervals)
-    spread = cut.withColumn("_sub", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(fan)))
-    below = Window.partitionBy("length").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spread.groupBy("length", "_sub").agg(F.count("*").alias("_n")).select("length", "_sub", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_sub").orderBy("doc_id", "start", "ids_crc32")
-    ranked = spread.withColumn("_row", F.row_number().over(within)).join(starts, ["length", "_sub"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
+    spread = cut.withColumn("_sub", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(fan))).withColumn("_part", F.lit(0))
+    crowded = materialise(spread.groupBy("length", "_sub").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD), "crowded")
+    if not crowded.isEmpty():  # rows / CROWD of them at most; which of equal pieces comes first is all the same
+        placed_once = materialise(spread.withColumn("_place", F.monotonically_increasing_id()), "pieces")
+        parts = F.coalesce(F.pmod(F.xxhash64("_place"), F.ceil(F.col("_n") / CROWD)), F.lit(0)).cast("int")
+        spread = placed_once.join(F.broadcast(crowded), ["length", "_sub"], "left").withColumn("_part", parts).select(*spread.columns)
+    below = Window.partitionBy("length").orderBy("_sub", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy("length", "_sub", "_part").agg(F.count("*").alias("_n")).select("length", "_sub", "_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("length", "_sub", "_part").orderBy("doc_id", "start", "ids_crc32")
+    ranked = spread.withColumn("_row", F.row_number().over(within)).join(starts, ["length", "_sub", "_part"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
     fits = (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("p_rank")) & (F.col("_rank") < F.col("p_rank") + F.col("p_count"))
     return ranked.join(intervals, fits).select(
         *cut.columns, (F.col("p_sequence") + F.col("_rank") - F.col("p_rank")).alias("sequence_id"), F.col("p_offset").alias("offset")
@@ -201,9 +235,15 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity
     return pack(materialise(pieces(df, tokenizer_path, end_id, capacity, keep_ids), "pieces"), capacity)
 
 
-def sequences(packed: DataFrame, pad_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """The padded sequences of pack_documents(keep_ids=True): sequence_id, n_tokens, ids (packed)."""
-    pad = F.expr(f"unhex(repeat('{pad_id.to_bytes(4, 'little').hex()}', cast({capacity} - n_tokens as int)))")
+def sequences(packed: DataFrame, pad_id: int = 0, capacity: int = CAPACITY, powers: bool = True) -> DataFrame:
+    """The sequences of pack_documents(keep_ids=True): sequence_id, n_tokens, ids (packed), padded to capacity.
+
+    With powers, a sequence whose tokens number a power of two stays at that length, as batches of
+    such lengths need no padding.
+    """
+    n = F.col("n_tokens")
+    exact = (F.bit_count(n) == 1) if powers else F.lit(False)
+    pad = F.when(exact, F.lit("").cast("binary")).otherwise(F.expr(f"unhex(repeat('{pad_id.to_bytes(4, 'little').hex()}', cast({capacity} - n_tokens as int)))"))
     return (
         packed.groupBy("sequence_id")
         .agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))

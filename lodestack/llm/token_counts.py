@@ -9,8 +9,10 @@ sums up. Pre-tokens that are themselves one piece of the vocabulary (a fixed tab
 entries) are counted where they stand and are not exchanged.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows and ids give a row
-each; ids may be null; other columns are ignored; an empty table gives an empty result. The input
-must be a scan or another plan whose partitions keep their row order when they are recomputed.
+each; ids may be null; other columns are ignored; an empty table gives an empty result. Documents
+are known by their place in a block, so an input whose rows might come in another order when a
+task runs again, as behind a shuffle, is written first. A tokenizer file of another kind than this
+split is refused.
 """
 
 from __future__ import annotations
@@ -27,11 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import partitions
+from lodestack.llm.packing import of_kind
+from lodestack.llm.shared import partitions, stable
 
 #: The split of byte-level BPE vocabularies of this kind. White space beyond these is UNUSUAL.
 _WS = r"\t-\r \x85\xa0"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+#: What a tokenizer file must say for this split to be its own.
+KIND = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "truncation": None, "padding": None}
 #: A text with other characters goes through the library's own split, whose Unicode tables may differ.
 UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
 GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -57,15 +62,23 @@ class PieceCounter:
     _made: dict[str, PieceCounter] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
+        self.tok = self.check(path)
         self.find = regex.compile(SPLIT).findall
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.special]
         self.cut = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         vocab = self._vocabulary()
         self.single = {v for v, n in zip(vocab, self.pieces(vocab), strict=True) if n == 1}
 
+    @staticmethod
+    def check(path: str):
+        """The tokenizer of a file, if it is of this kind."""
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        if not of_kind(tok, KIND):
+            raise ValueError(f"{path} does not split texts as this operator does")
+        return tok
+
     @classmethod
     def of(cls, path: str) -> PieceCounter:
         if path not in cls._made:
@@ -175,6 +188,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """One row per row of df: the id (long), n_bytes and n_tokens."""
     spark = df.sparkSession
     buckets = partitions(spark)
+    PieceCounter.check(tokenizer_path)
+    df = stable(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), "texts")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, block, made = PieceCounter.of(tokenizer_path), _Block(), 0
@@ -217,8 +232,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         return pa.table({id_col: docs.column("id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(tokens, pa.int64())})
 
     return (
-        df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-        .mapInArrow(split, "key int, block long, info binary, payload binary")
+        df.mapInArrow(split, "key int, block long, info binary, payload binary")
         .repartitionById(buckets, "key")
         .mapInArrow(encode, "block long, info binary, payload binary")
         .groupBy("block")

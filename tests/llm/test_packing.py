@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from lodestack.llm import packing as P
@@ -54,7 +55,7 @@ def test_sequences_carry_the_ids(spark):
     rows = {r.sequence_id: r for r in P.sequences(packed, 9, 64).collect()}
     for p in packed.collect():
         ids = np.frombuffer(rows[p.sequence_id].ids, "<u4")
-        assert len(ids) == 64 and zlib.crc32(ids[p.offset : p.offset + p.length].tobytes()) == p.ids_crc32
+        assert len(ids) == (64 if rows[p.sequence_id].n_tokens.bit_count() != 1 else rows[p.sequence_id].n_tokens) and zlib.crc32(ids[p.offset : p.offset + p.length].tobytes()) == p.ids_crc32
     assert all(set(np.frombuffer(r.ids, "<u4")[r.n_tokens :].tolist()) <= {9} for r in rows.values())
 
 
@@ -78,3 +79,26 @@ def test_long_texts_in_windows(monkeypatch):
     text = "It's  a b\n c é <|endoftext|> d\u3000e 12 !? ΣΑΣ x " * 30
     ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     assert P.WordEncoder(PATH).encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_no_padding_at_a_power_of_two(spark):
+    df = spark.createDataFrame([(k, "a " * 31) for k in range(3)] + [(9, "b " * 40)], "doc_id long, text string")
+    packed = P.pack_documents(df, PATH, capacity=63, keep_ids=True).cache()
+    sizes = sorted((r.n_tokens, len(r.ids) // 4) for r in P.sequences(packed, 9, 63).collect())
+    assert (32, 32) in sizes and (41, 63) in sizes
+    assert {n for _, n in [(r.n_tokens, len(r.ids) // 4) for r in P.sequences(packed, 9, 63, powers=False).collect()]} == {63}
+
+
+def test_other_tokenizers_go_through_the_library():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    text = "It's  a b\n c é <|endoftext|> d\u3000e 12 !? ΣΑΣ x "
+    assert P.WordEncoder(PATH).plain and not P.WordEncoder(other).plain
+    assert P.WordEncoder(other).encode(text) == np.array(Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("crowd", [100, 10**6])
+def test_repeated_rows_and_clashing_columns(spark, monkeypatch, crowd):
+    monkeypatch.setattr(P, "CROWD", crowd)
+    df = spark.createDataFrame([(1, "one two", 5, "s", "x")] * 700 + [(2, "three", 1, "t", "y")], "doc_id long, text string, length int, _sub string, sequence_id string")
+    rows = P.pack_documents(df, PATH).collect()
+    check(rows, [(1, "one two")] * 700 + [(2, "three")])

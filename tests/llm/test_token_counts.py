@@ -37,3 +37,18 @@ def test_long_texts_in_windows():
     parts = list(T.windows(text, 20))
     assert "".join(parts) == text and len(parts) > 20
     assert sum(counter.pieces([w for p in parts for some in counter.split(p) for w in some])) + counter.specials_in(text) == brute([text])[0]
+
+
+def test_rows_behind_a_shuffle_are_written_first(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = dict(zip([r.doc_id for r in docs.collect()], brute([r.text for r in docs.collect()]), strict=True))
+    found = T.count_tokens(docs.repartition(3), PATH)
+    assert "RoundRobin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == want
+
+
+def test_other_tokenizers_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        T.count_tokens(spark.createDataFrame([(1, "x")], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"))
