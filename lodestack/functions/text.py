@@ -34,9 +34,11 @@ PHONE_DIGITS = (7, 15)
 DESCRIPTION_LIMIT = 4000
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
-_LINE_END = r"[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
-#: Stands for a line end while entities are decoded; a private character that texts do not hold.
-_MARK = "\ue000"
+#: Runs that are not a single plain space already.
+_UNEVEN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+_SCRIPTS = re.compile(r"<(script|style)\b.*?</\1>", re.I | re.S)
+#: Stands for a separator while entities are decoded: three private characters that no text holds in a row.
+_MARK = "\ue000\uf8ff\ue000"
 
 
 @F.pandas_udf(T.StringType())
@@ -47,11 +49,21 @@ def unescape(texts: pd.Series) -> pd.Series:
 
 def normalise_ws(c: Column) -> Column:
     """Runs of white space become one space, none at the ends; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _UNEVEN, " "))
+
+
+def let(c: Column, of) -> Column:
+    """of(c) with c computed once, however often of() names it."""
+    return F.element_at(F.transform(F.array(c), of), 1)
+
+
+def _only(c: Column, test, change) -> Column:
+    """change(c) where test(c), or where c holds the text test, without which there is nothing to change."""
+    return let(c, lambda x: F.when(x.contains(test) if isinstance(test, str) else test(x), change(x)).otherwise(x))
 
 
 def strip_scripts(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?isU)<(script|style)\b.*?</\1>", " ")
+    return _only(c, "</", lambda x: F.regexp_replace(x, r"(?isU)<(script|style)\b.*?</\1>", " "))
 
 
 def normalise_text(c: Column) -> Column:
@@ -67,12 +79,20 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
 
+@F.pandas_udf(T.StringType())
+def _lines(texts: pd.Series) -> pd.Series:
+    """Entities decoded, then each line without scripts, decoded again and with its white space collapsed; empty lines go."""
+
+    def of(t: str) -> str:
+        cut = (_SCRIPTS.sub(" ", line) if "</" in line else line for line in html.unescape(t).splitlines())
+        return "\n".join(clean for line in cut if (clean := " ".join(html.unescape(line).split())))
+
+    return texts.map(of)
+
+
 def html_to_text(c: Column) -> Column:
     """Readable lines of a fragment. Entities are decoded twice, per text and per line, by definition."""
-    c = F.regexp_replace(unescape(strip_tags(c)), _LINE_END, _MARK)
-    c = unescape(F.regexp_replace(c, rf"(?isU)<(script|style)\b[^{_MARK}]*?</\1>", " "))
-    lines = F.transform(F.split(c, _MARK), normalise_ws)
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    return _lines(strip_tags(c))
 
 
 def truncate(c: Column, limit: int = DESCRIPTION_LIMIT) -> Column:
@@ -211,6 +231,7 @@ def tech_tags(c: Column) -> Column:
 
 def is_hiring_thread(title: Column) -> Column:
     low = F.lower(F.coalesce(title, F.lit("")))
+    # What titles of such threads hold.
     return low.contains("who is hiring") | low.contains("who wants to be hired")
 
 
@@ -231,21 +252,27 @@ PHONE = r"(?U)(?<![\w$+])\+?\d[\d\s()./-]{5,24}\d(?![\w])"
 
 def redact_phones(c: Column) -> Column:
     """Digit runs that can be phone numbers: 7 to 15 digits and not an ISO day."""
-    runs = F.regexp_extract_all(c, F.lit(PHONE), F.lit(0))
 
     def redact(run: Column) -> Column:
         digits = F.length(F.regexp_replace(run, r"(?U)\D", ""))
         return F.when(digits.between(*PHONE_DIGITS) & ~F.trim(run).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.lit(REDACTED)).otherwise(run)
 
-    between = F.split(c, PHONE, -1)
-    return F.array_join(F.zip_with(between, F.transform(runs, redact), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    def change(x: Column) -> Column:
+        runs, between = F.regexp_extract_all(x, F.lit(PHONE), F.lit(0)), F.split(x, PHONE, -1)
+        return F.array_join(F.zip_with(between, F.transform(runs, redact), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return _only(c, lambda x: x.rlike(r"(?U)\d[\d\s()./-]{5,24}\d"), change)
+
+
+def redact_emails(c: Column) -> Column:
+    return _only(c, "@", lambda x: F.regexp_replace(x, EMAIL, REDACTED))
 
 
 def scrub_pii(c: Column) -> Column:
     """Addresses, phone numbers and long numbers redacted, queries of urls dropped; then normalise_text, which joins lines."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), EMAIL, REDACTED)
-    c = F.regexp_replace(redact_phones(c), r"(?U)\b\d{9,}\b", REDACTED)
-    c = F.regexp_replace(c, r"(?U)\b(https?://[^\s?]+)\?\S*", "$1")
+    c = redact_phones(redact_emails(F.coalesce(c, F.lit(""))))
+    c = _only(c, lambda x: x.rlike(r"(?U)\d{9}"), lambda x: F.regexp_replace(x, r"(?U)\b\d{9,}\b", REDACTED))
+    c = _only(c, "://", lambda x: F.regexp_replace(x, r"(?U)\b(https?://[^\s?]+)\?\S*", "$1"))
     return normalise_text(c)
 
 

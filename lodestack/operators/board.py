@@ -15,6 +15,7 @@ from lodestack.functions import hashing, text
 from lodestack.functions.markup import Node, Selector, parse, squeeze
 from lodestack.functions.urls import join_url
 from lodestack.schemas import ITEM_COLUMNS, RECORD
+from lodestack.session import spread
 from lodestack.sources.board_config import BoardConfig
 
 PAGE_RESULT = f"struct<details:array<struct<url:string,seed:{RECORD}>>,next:string,record:{RECORD},error:string>"
@@ -87,14 +88,16 @@ def parse_page(kind: str, markup: str | None, base: str | None, config: BoardCon
 
 
 def parse_pages(kind: Column, markup: Column, base: Column, config: BoardConfig) -> Column:
-    """PAGE_RESULT of index pages (kind list) and detail pages (kind detail); other kinds hold nothing."""
+    """PAGE_RESULT of index pages (kind list) and detail pages (kind detail); other kinds hold nothing.
+
+    Marked as not deterministic, so that no filter on what was found is pushed below it, which would parse every page again.
+    """
 
-    @F.pandas_udf(PAGE_RESULT)
     def run(kinds: pd.Series, pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
         rows = [parse_page(k, p, b, config) for k, p, b in zip(kinds, pages, bases, strict=True)]
         return pd.DataFrame(rows, columns=["details", "next", "record", "error"], dtype=object)
 
-    return run(kind, markup, base)
+    return F.pandas_udf(run, PAGE_RESULT).asNondeterministic()(kind, markup, base)
 
 
 def overlay(seed: Column, over: Column) -> Column:
@@ -155,5 +158,5 @@ def build_items(records: DataFrame, config: BoardConfig) -> DataFrame:
 
 def details_of(pages: DataFrame, config: BoardConfig) -> DataFrame:
     """Records (url, fields, lists) of detail pages (url, text) that no list told of."""
-    found = pages.select("url", parse_pages(F.lit("detail"), F.col("text"), F.col("url"), config)["record"].alias("r"))
+    found = spread(pages.select("url", "text")).select("url", parse_pages(F.lit("detail"), F.col("text"), F.col("url"), config)["record"].alias("r"))
     return found.select("url", "r.fields", "r.lists")

@@ -29,8 +29,7 @@ RUN_DETAIL = [*RUN_SUMMARY, "detail"]
 def search(query: str, text: Column, title: Column | None = None, mode: str = "simple") -> Column:
     """simple: every token of the query occurs; substring: text or title contains it in any case."""
     if mode == "simple":
-        wanted = search_tokens(F.lit(query))
-        return F.forall(wanted, lambda t: F.array_contains(search_tokens(text), t)) & (F.size(wanted) > 0)
+        return search_indexed(query, search_tokens(text))
     if mode != "substring":
         raise ConfigError(f"no search mode {mode!r}")
     pattern = f"%{query.strip()}%"
@@ -39,9 +38,9 @@ def search(query: str, text: Column, title: Column | None = None, mode: str = "s
 
 
 def search_indexed(query: str, tokens: Column) -> Column:
-    """search() in simple mode over a stored token array."""
+    """search() in simple mode over a token array, which is made once a row."""
     wanted = search_tokens(F.lit(query))
-    return F.forall(wanted, lambda t: F.array_contains(tokens, t)) & (F.size(wanted) > 0)
+    return (F.size(F.array_except(wanted, tokens)) == 0) & (F.size(wanted) > 0)
 
 
 @dataclass(frozen=True)

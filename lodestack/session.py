@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, name: str = "lodestack", memory: str = "8g") -> SparkSession:
@@ -22,3 +22,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "lode
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks than that; for rows that cost much more than a move."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
