@@ -33,6 +33,19 @@ def histogram(log: DataFrame, column: str, bounds: list[float], *keys: str) -> D
     return bucket_counts(log, F.col(column), bounds, *keys)
 
 
+def run_histograms(runs: DataFrame) -> DataFrame:
+    """metric, adapter, le, n, count: how long runs took and how long they wrote, by the bounds of both."""
+    wrote = runs.select("adapter", F.get_json_object("detail", "$.write_seconds").try_cast("double").alias("seconds")).where("seconds is not null")
+    took = runs.select("adapter", F.col("duration_seconds").alias("seconds")).where("seconds is not null")
+    named = lambda df, name, bounds: histogram(df, "seconds", bounds, "adapter").select(F.lit(name).alias("metric"), "adapter", "le", "n", "count")
+    return named(took, "run_duration_seconds", DURATION).unionByName(named(wrote, "db_write_seconds", WRITE))
+
+
+def wait_histogram(fetched: DataFrame, *keys: str) -> DataFrame:
+    """How long pages waited for their host's tokens and backoff; fetched is what http.fetch() gives."""
+    return histogram(fetched.where("waited is not null"), "waited", WAIT, *keys)
+
+
 def exposition(samples: DataFrame, prefix: str = "listings") -> DataFrame:
     """Lines of the text format for samples (name, adapter, value)."""
     label = F.replace(F.replace("adapter", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))

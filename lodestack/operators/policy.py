@@ -115,6 +115,12 @@ def replay_breaker(events: DataFrame, threshold: int = 8, reset: float = 60.0) -
     return _by_host(events, ["ts", "seq", "ok"], "allowed boolean, state string", lambda: Breaker(threshold, reset), step)
 
 
+def reset_breakers(states: DataFrame, *hosts: str) -> DataFrame:
+    """states (host, state) with these hosts closed again, or all of them if none is named."""
+    own = F.col("host").isin(*hosts) if hosts else F.lit(True)
+    return states.withColumn("state", F.when(own, F.lit("closed")).otherwise(F.col("state")))
+
+
 def breaker_states(replayed: DataFrame) -> DataFrame:
     """The last state of each host as one map, sorted by host."""
     last = replayed.groupBy("host").agg(F.max_by("state", F.struct("ts", "seq")).alias("state"))
@@ -140,7 +146,7 @@ class Bucket:
     def wait(self, now: float, amount: float = 1.0) -> float:
         """Seconds until amount can be taken at now or after; takes it."""
         if amount > self.capacity:
-            raise ConfigError("amount exceeds the bucket's capacity")
+            raise ConfigError("no bucket of this capacity ever holds that amount")
         if self.updated is None:
             self.updated = now
         if now > self.updated:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import display, hashing, markup, text, urls
 from lodestack.operators import filters, frontier, merge, metrics, policy, rollups, thread
+from lodestack.session import spread
 from lodestack.sources import archive
 
 QUERIES: dict = {}
@@ -140,7 +141,7 @@ for _name, (_filter, _where) in _FILTERS.items():
 
 query("search_substring", "documents", "SELECT doc_id FROM documents WHERE text ILIKE '%ation th%'")(lambda t: t.where(filters.search("ation th", F.col("text"), mode="substring")).select("doc_id"))
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-query("search_tokens_and", "documents", f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'of', 'hation'])")(lambda t: t.where(filters.search("The OF, hation", F.col("text"))).select("doc_id"))
+query("search_tokens_and", "documents", f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'of', 'hation'])")(lambda t: spread(t.select("doc_id", "text")).where(filters.search("The OF, hation", F.col("text"))).select("doc_id"))
 query("search_indexed", "documents", f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['que', 'les'])")(lambda t: filters.with_tokens(t.withColumnRenamed("text", "search_text")).where(filters.search_indexed("les que", F.col("tokens"))).select("doc_id"))
 query("inverted_index", "part", r"SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(p_type), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS token, p_partkey AS id FROM part")(lambda t: filters.inverted_index(t.select(F.col("p_type").alias("search_text"), F.col("p_partkey").alias("id"))))
 
@@ -274,10 +275,11 @@ query("title_extract", "pages", r"""SELECT page_id, trim(regexp_replace(replace(
 )
 query("link_extract", "pages", r"""SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '') AS links FROM pages""")(lambda t: t.select("page_id", markup.extract_all(F.col("html"), "a::attr(href)").alias("links")))
 query("nav_extract", "pages", r"""SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')) AS n_links FROM pages""")(lambda t: t.select("page_id", F.size(markup.extract_all(F.col("html"), "nav > ul li a::attr(href)")).cast("long").alias("n_links")))
-query("scrub_email", "documents", rf"SELECT doc_id, regexp_replace(text, '\b[\w.+-]+@[\w-]+\.[\w.-]{{2,}}\b', '{text.REDACTED}', 'g') AS t FROM documents WHERE text LIKE '%@%'")(lambda t: t.where(F.col("text").contains("@")).select("doc_id", F.regexp_replace("text", text.EMAIL, text.REDACTED).alias("t")))
-query("scrub_phone", "documents")(lambda t: t.select("doc_id", text.redact_phones(F.col("text")).alias("t")))
-query("scrub_pii", "documents")(lambda t: t.select("doc_id", text.scrub_pii(F.col("text")).alias("t")))
+query("scrub_email", "documents", rf"SELECT doc_id, regexp_replace(text, '\b[\w.+-]+@[\w-]+\.[\w.-]{{2,}}\b', '{text.REDACTED}', 'g') AS t FROM documents")(lambda t: spread(t).select("doc_id", text.redact_emails(F.col("text")).alias("t")))
+query("scrub_phone", "documents")(lambda t: spread(t).select("doc_id", text.redact_phones(F.col("text")).alias("t")))
+query("scrub_pii", "documents")(lambda t: spread(t).select("doc_id", text.scrub_pii(F.col("text")).alias("t")))
 
+# Fixed value: the pattern of amounts, as SQL writes it.
 _MONEY = r"([$£€₹]|\b(?:usd|eur|gbp|cad|aud|inr|chf|sek|nok|dkk|pln|ils|brl|jpy)\b)?\s*(\d{1,3}(?:[,\x{00a0} ]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*([kKmM])?\b"
 _PAY = r"(SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '$' || (o_orderkey % 900 + 10) || 'k - $' || (o_orderkey % 700 + 20) || 'k' WHEN 1 THEN (o_orderkey % 90) || ',500 EUR' WHEN 2 THEN 'salary ' || o_orderkey WHEN 3 THEN 'none' ELSE '£1.' || (o_orderkey % 10) || 'M' END AS s FROM orders)"
 

@@ -20,6 +20,7 @@ from lodestack.config import Settings
 from lodestack.operators import frontier, merge
 from lodestack.schemas import CRAWL_RUNS, FETCH_ERRORS, TABLES, conform
 from lodestack.sources import archive
+from lodestack.sources.http import request_log
 from lodestack.sources.tables import Table
 
 Fetch = Callable[[DataFrame], DataFrame]
@@ -150,6 +151,7 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
     spark, result = store.spark, RunResult(adapter.name)
     run_id = store.start_run(adapter.name, as_of)
     level, seen, items, failures = adapter.start(spark), None, None, None
+    asked = 0
     skipped: dict[str, int] = {"duplicates_skipped": 0, "too_deep_skipped": 0, "over_budget": 0}
     try:
         for depth in range(settings.max_depth + 2):
@@ -157,7 +159,7 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
             if "base_url" in level.columns:
                 level = frontier.on_site(level)
             past = seen if seen is not None else spark.createDataFrame([], "canon string")
-            admitted = store.scratch(frontier.admit(level, past, settings.max_depth, budget - result.requests_made), f"level-{depth}")
+            admitted = store.scratch(frontier.admit(level, past, settings.max_depth, budget - asked), f"level-{depth}")
             counted = frontier.stats(admitted)
             skipped = {"duplicates_skipped": skipped["duplicates_skipped"] + counted.duplicates, "too_deep_skipped": skipped["too_deep_skipped"] + counted.too_deep, "over_budget": skipped["over_budget"] + counted.over_budget}
             if not counted.queued:
@@ -168,11 +170,26 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
             pages = store.scratch(fetch(queued).withColumn("fetched_at", F.lit(as_of).cast("timestamp")), f"pages-{depth}")
             ok = pages.where("status_code between 200 and 299")
             got = pages.agg(F.count("*").alias("n"), F.count_if(F.col("status_code").between(200, 299)).alias("ok"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-            result.requests_made += got["n"]
+            if "requests" in pages.columns:
+                log = request_log(pages).first()
+                result.requests_made += log["requests"]
+                result.retries += log["retries"]
+                for name in ("robots_denied", "circuit_skips"):
+                    result.detail[name] = result.detail.get(name, 0) + log[name]
+                for status, n in log["statuses"].items():
+                    by = result.detail.setdefault("statuses", {})
+                    by[status] = by.get(status, 0) + n
+                result.detail["breakers"] = log["breakers"]
+            else:
+                result.requests_made += got["n"]
+            asked += got["n"]
             result.pages_fetched += got["ok"]
             result.failures += got["n"] - got["ok"]
             result.detail["bytes_downloaded"] = result.detail.get("bytes_downloaded", 0) + got["bytes"]
-            bad = pages.where("not coalesce(status_code between 200 and 299, false)").select("url", F.format_string("HTTP %s for %s", F.col("status_code").cast("string"), "url").alias("error"))
+            said = F.format_string("HTTP %s for %s", F.col("status_code").cast("string"), "url")
+            if "reason" in pages.columns:
+                said = F.when(F.col("status_code").isNull(), F.concat_ws(" ", "reason", F.lit("for"), "url")).otherwise(said)
+            bad = pages.where("not coalesce(status_code between 200 and 299, false)").select("url", said.alias("error"))
             failures = bad if failures is None else failures.unionByName(bad)
             if settings.archive:
                 carried = [c for c in ok.columns if c not in ("text", "status_code", "canon", "fetched_at")]
@@ -189,7 +206,9 @@ def crawl(store: Store, adapter, fetch: Fetch, as_of: datetime, settings: Settin
         if items is not None:
             result.items_seen = items.count()
             any_seen = result.items_seen > 0
+            start = time.monotonic()
             stats, flagged = store.upsert(items, as_of, run_id, adapter.name if any_seen else None)
+            result.detail["write_seconds"] = round(time.monotonic() - start, 3)
             result.items_new, result.items_changed, result.items_unchanged = stats["new"], stats["changed"], stats["unchanged"]
             result.detail["marked_inactive"] = flagged
         if failures is not None and result.failures:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,13 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files make fewer tasks than that; for rows that cost much more than a move."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the session is local."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lodestack-")
