@@ -332,7 +332,7 @@ query("redact_phones_known", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey
     lambda t: t.select("o_orderkey", text.redact_phones(F.when(F.col("o_orderkey") % 3 == 0, F.format_string("call +49 30 %07d.", F.col("o_orderkey"))).when(F.col("o_orderkey") % 3 == 1, "on 2026-02-11").otherwise("just 12 34")).alias("t"))
 )
 query("collect_tags", "part", "SELECT p_partkey, array_to_string([p_type, 'R&D', p_brand, 'x y'], '|') AS tags FROM part")(
-    lambda t: t.select("p_partkey", F.array_join(text.collect_tags(F.array(F.concat("p_type", F.lit(", R&amp;D")), F.concat(F.lit(" ; "), "p_brand", F.lit(" | x  y")))), "|").alias("tags"))
+    lambda t: t.select("p_partkey", F.array_join(text.collect_tags(F.array(F.concat("p_type", F.lit(", R&D")), F.concat(F.lit(" ; "), "p_brand", F.lit(" | x  y")))), "|").alias("tags"))
 )
 query("clean_tags", "part", "SELECT p_partkey, p_brand || '|' || p_name AS tags FROM part")(
     lambda t: t.select("p_partkey", F.array_join(text.clean_tags(F.array(F.concat(F.lit("  "), "p_brand"), F.lit(" "), "p_name", "p_brand", F.concat("p_name", F.lit(" ")))), "|").alias("tags"))
