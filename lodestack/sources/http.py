@@ -94,6 +94,7 @@ class HostClient:
         s = self.settings
         self.breaker, self.bucket, self.lock = Breaker(s.breaker_threshold, s.breaker_reset), Bucket(s.requests_per_second), threading.RLock()
         self.robots: tuple[int | None, str] | None = None
+        self.paced = False  # by the host's own crawl delay
 
     def _once(self, url: str) -> tuple[int | None, str, dict]:
         try:
@@ -105,14 +106,13 @@ class HostClient:
         if not self.settings.respect_robots:
             return True
         with self.lock:
-            first = self.robots is None
-            if first:
+            if self.robots is None:
                 parts = urlsplit(url)
                 status, body, _ = self._once(f"{parts.scheme}://{parts.netloc}/robots.txt")
                 self.robots = (status, body)
             ok, _, delay = robots_verdict(self.robots[1], self.robots[0], self.settings.user_agent, url, self.settings.crawl_delay)
-            if first and delay:
-                self.bucket = Bucket(1 / max(delay, 0.01))
+            if delay and not self.paced:
+                self.bucket, self.paced = Bucket(1 / max(delay, 0.01)), True
         return ok
 
     def get(self, url: str) -> tuple:

@@ -91,3 +91,59 @@ def test_fetch_plan(spark):
     assert {r.url: r.text for r in rows if r.status_code == 200} == pages and sum(r.status_code == 404 for r in rows) == 1 and {r.reason for r in rows} == {"fetched"}
     denied = http.fetch(df, http.map_transport(pages, robots_status=503), Settings(), sleep=lambda s: None).collect()
     assert {r.reason for r in denied} == {"disallowed_by_robots"}
+
+
+def test_retry_after_and_jitter():
+    waits = []
+    answers = iter([(503, "", {"retry-after": "Thu, 01 Jan 1970 00:00:09 GMT"}), (429, "x", {"retry-after": "2.5"}), (500, "", {}), (200, "ok", {})])
+    c = http.HostClient(Settings(respect_robots=False, requests_per_second=1e6), lambda u, t: next(answers), lambda: 0.0, waits.append, lambda: 0.0)
+    status, text, _, retries, waited, reason, requests, size, seen, state = c.get("http://q/1")
+    assert (status, text, retries, reason, requests, size, seen, state) == (200, "ok", 3, "fetched", 4, 3, {"503": 1, "429": 1, "500": 1, "200": 1}, "closed")
+    drawn = http.jitter("http://q/1", 2, 0.5, 30.0)
+    assert [w for w in waits if w] == [9.0, 2.5, drawn] and 0 <= drawn <= 2.0 and sum(waits) == waited
+    assert [http.retry_after(v, 0.0) for v in ("-3", "soon", None, "", "Wed, 31 Dec 1969 23:00:00 GMT")] == [0.0, None, None, None, 0.0]
+    draws = [http.jitter(f"u{k}", 10, 0.5, 30.0) for k in range(500)]
+    assert max(draws) <= 30 and 13 < sum(draws) / 500 < 17
+
+
+def test_breaker_counts_pages_and_ignores_4xx():
+    c, seen, _ = client(lambda u, n: (404, "", {}) if "no" in u else (500, "", {}), respect_robots=False, breaker_threshold=2, max_retries=1, breaker_reset=1000.0)
+    assert [c.get(u)[5] for u in ("http://a/1", "http://a/no", "http://a/2", "http://a/3")] == ["fetched", "fetched", "fetched", "circuit_open"] and len(seen) == 5
+
+
+def test_crawl_delay_and_threads_of_a_host():
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    c, seen, now = client(lambda u, n: (404, "", {}), crawl_delay=4.0)
+    for k in range(3):
+        c.get(f"http://a/{k}")
+    assert now[0] == 8.0  # no robots.txt: the default delay
+    most, running, lock = [0], [0], threading.Lock()
+
+    def get(url, timeout):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.02)
+        with lock:
+            running[0] -= 1
+        return 200, url, {}
+
+    shared = http.HostClient(Settings(respect_robots=False, requests_per_second=1e6), get)
+    with ThreadPoolExecutor(2) as pool:
+        rows = list(pool.map(shared.get, [f"http://a/{k}" for k in range(12)]))
+    assert [r[1] for r in rows] == [f"http://a/{k}" for k in range(12)] and most[0] == 2
+
+
+def test_request_log_and_run_counters(spark, tmp_path):
+    df = spark.createDataFrame([(f"http://h{k % 3}.test/{k}",) for k in range(12)] + [("http://down.test/1",), ("http://down.test/2",), ("http://down.test/3",)], "url string")
+
+    def get(url, timeout):
+        return (503, "", {}) if "down" in url else (404, "", {}) if url.endswith(("/robots.txt", "/5")) else (200, "four", {})
+
+    s = Settings(requests_per_second=1e6, crawl_delay=0, max_retries=1, breaker_threshold=2, respect_robots=False)
+    log = http.request_log(http.fetch(df, get, s, sleep=lambda x: None)).first()
+    assert (log.requests, log.retries, log.failures, log.robots_denied, log.circuit_skips, log.bytes_downloaded) == (16, 2, 3, 0, 1, 44)
+    assert log.statuses == {"200": 11, "404": 1, "503": 4} and log.breakers == {"down.test": "open"}
