@@ -16,7 +16,7 @@ are different nodes; ids may be null; other columns are ignored by fingerprints(
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +40,39 @@ BROADCAST_KEEPERS = 500_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without a word."""
+def hashed(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles in their order, repeats included, CHUNK at a time; nothing without a word."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        yield np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))
     ends = starts[shingle:] - 1
-    counts, n, digest = np.zeros(64, np.int64), len(ends), xxhash.xxh64_intdigest
+    n, digest = len(ends), xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         a, b = starts[at : min(at + CHUNK, n)].tolist(), ends[at : at + CHUNK].tolist()
-        hashes = np.fromiter([digest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], np.uint64, len(b))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter([digest(joined[i:j], 42) for i, j in zip(a, b, strict=True)], np.uint64, len(b))
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes; 0 without a hash."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in chunks:
+        for at in range(0, len(hashes), CHUNK):
+            counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without a word."""
+    return majority(hashed(text, shingle))
+
+
 def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a long) of every row."""
 
@@ -253,11 +267,16 @@ def survivors(df: DataFrame, shingle: int = 3, most_bits: int = 3, leaf: int = L
     distinct = materialise(fps.select("fp").distinct(), "distinct")
     first = F.min(F.struct("doc_id", "_row")).alias("_first")
     keepers = fps.groupBy("fp").agg(first).join(classes(distinct, most_bits, leaf), "fp").groupBy("label").agg(F.min("_first").alias("_first"))
+    return restore(kept_rows(keyed, fps, keepers))
+
+
+def kept_rows(keyed: DataFrame, narrow: DataFrame, keepers: DataFrame) -> DataFrame:
+    """Rows of keyed whose (doc_id, _row) is the _first of a keeper, repeated rows once; narrow: a written table of all doc_id and _row."""
     keepers = materialise(keepers.select(F.col("_first.doc_id").alias("_id"), F.col("_first._row").alias("_key")), "keepers")
     n = keepers.count()
     some = F.broadcast(keepers) if n <= BROADCAST_KEEPERS else keepers
     same = lambda d: (d["_row"] == some["_key"]) & d["doc_id"].eqNullSafe(some["_id"])
     kept = keyed.join(some, same(keyed), "left_semi")
-    if fps.join(some, same(fps), "left_semi").count() > n:  # whole rows repeat
+    if narrow.join(some, same(narrow), "left_semi").count() > n:  # whole rows repeat
         kept = kept.dropDuplicates(["doc_id", "_row"])
-    return restore(kept)
+    return kept
