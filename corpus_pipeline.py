@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import language_id as languages
-from lodestack.llm import mixing, packing, simhash
+from lodestack.llm import mixing, packing, similar_texts
 from lodestack.llm import quality_rules as rules
 from lodestack.llm.shared import materialise, release, shield, written
 
@@ -37,8 +37,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component."""
-    return simhash.survivors(docs, shingle=3, most_bits=3)
+    """Keep one document of each component of texts whose five-word shingles have a similarity of 0.8 or more."""
+    return similar_texts.survivors(docs, shingle=5, similarity=0.8, most_bits=3)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
