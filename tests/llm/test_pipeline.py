@@ -4,33 +4,14 @@ import corpus_pipeline as C
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lodestack.llm import mixing, quality_rules, simhash
+from lodestack.llm import mixing, quality_rules
+from tests.llm.test_similar_texts import brute_keep
 
 
 def rows(df):
     return sorted(map(str, df.collect()))
 
 
-def brute_keep(docs):
-    """Rows (doc_id, text) that near_dedup keeps: the smallest id of each component, by pairwise comparison."""
-    fps = [simhash.fingerprint((t or "").encode()) for _, t in docs]
-    group = list(range(len(docs)))
-
-    def find(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for a in range(len(docs)):
-        for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
-                group[find(a)] = find(b)
-    low = {}
-    for k, (d, _) in enumerate(docs):
-        low[find(k)] = min(low.get(find(k), d), d)
-    return sorted(low.values())
-
-
 def test_stages_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
