@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows of a batch that are Python objects at one time.
 ROWS = 1000
+#: Rows of an Arrow batch while a stage is written: 10,000, the session's default, take 20 MB and more on both sides.
+BATCH_ROWS = 1000
 #: Hashes of rows that repeat are broadcast up to this number (40 bytes each before hashing).
 BROADCAST_REPEATS = 200_000
 #: Numbers of equal rows that are made in one step.
@@ -42,6 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_lock = threading.Lock()
+_writing: dict[int, list] = {}
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS at most while a write runs; the session's own value comes back after the last one."""
+    name, key = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark._jsparkSession)
+    with _lock:
+        held = _writing.setdefault(key, [0, spark.conf.get(name, None)])
+        held[0] += 1
+        if not 0 < int(held[1] or 0) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _writing[key]
+                spark.conf.unset(name) if held[1] is None else spark.conf.set(name, held[1])
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -51,7 +76,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     stays until release(), as results are read when their caller wants them.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

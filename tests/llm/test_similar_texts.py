@@ -2,8 +2,8 @@ import random
 
 import pytest
 
+from lodestack.llm import shared, simhash
 from lodestack.llm import similar_texts as S
-from lodestack.llm import simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,3 +90,17 @@ def test_long_texts_in_chunks(monkeypatch, n):
     monkeypatch.setattr(S, "STEP", 3)
     assert S.shingle_set(text).tolist() == whole.tolist() and S.bands(whole).tolist() == keys
     assert len(whole) == len(word_shingles(text.decode()))
+
+
+@pytest.mark.parametrize("own,inside", [(None, "1000"), ("10000", "1000"), ("500", "500"), ("0", "1000")])
+def test_arrow_batches_are_small_only_while_written(spark, own, inside):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(name)
+    if own:
+        spark.conf.set(name, own)
+    try:
+        with shared._small_batches(spark), shared._small_batches(spark):
+            assert spark.conf.get(name) == inside
+        assert spark.conf.get(name, None) == own
+    finally:
+        spark.conf.unset(name)
