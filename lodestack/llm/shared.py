@@ -6,7 +6,7 @@ import re
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,14 +69,14 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.unset(name) if held[1] is None else spark.conf.set(name, held[1])
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a new Parquet folder in the shared place and read it back.
+def materialise(df: DataFrame, label: str, small: bool = True) -> DataFrame:
+    """Write df to a new Parquet folder in the shared place and read it back; small=False leaves Arrow batches at the session's size.
 
     This cuts lineage: a lost executor costs a reread of the file and no recomputation. The folder
     stays until release(), as results are read when their caller wants them.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    with _small_batches(df.sparkSession):
+    with _small_batches(df.sparkSession) if small else nullcontext():
         df.write.parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

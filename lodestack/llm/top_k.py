@@ -209,7 +209,7 @@ def candidates(vectors: DataFrame, is_query: Column, k: int = 10, n_pivots: int
     pivots = spark.sparkContext.broadcast(_Pivots(_pivot_rows(rows, n_pivots)))  # n_pivots rows at most
     tasks = spark.sparkContext.defaultParallelism
     spread = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
-    blocks = materialise(_packed(spread, pivots), "pivot-table")
+    blocks = materialise(_packed(spread, pivots), "pivot-table", small=False)
     asked = materialise(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     size = asked.agg(F.coalesce(F.sum(8 * (F.size("embedding") + n_pivots + 2)), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
