@@ -15,14 +15,16 @@ texts are cut into full sequences and a rest.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
-import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +43,16 @@ UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
 #: Longer texts are taken in parts that start at a space, which no token spans.
 WINDOW = 1 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
-#: A worker forgets its words beyond this number.
-CACHE_WORDS = 400_000
+#: Texts are encoded together up to so many characters.
+GROUP = 4 << 20
+#: Parts whose tokens are Python objects at one time.
+MERGED = 4096
+#: Beyond this number of words a worker begins anew and forgets those that it has not met since it last did.
+CACHE_WORDS = 150_000
 #: The split of this kind of vocabulary, for text without white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-
+#: Characters of usual texts, lowered, that are neither letters nor numbers nor white space; at the end of a run they are one part of SPLIT.
+MARKS = "".join(sorted({low for c in map(chr, [*range(0x2028), 0x20AC]) if not UNUSUAL.match(c) for low in c.lower() if unicodedata.category(low)[0] not in "LN" and not low.isspace()}))
 
 #: What a tokenizer file must say for its texts to be split here; any other file is left to the library as a whole.
 KIND = {
@@ -73,10 +80,12 @@ def of_kind(tokenizer, kind: dict) -> bool:
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never merges across it; any other kind goes through the library.
 
-    A run of characters between white space always has the same ids, so each is kept as packed
-    little-endian 32-bit ids. A new run is lowered and split as the tokenizer does it, and its parts
-    go to the tokenizer's own merges, without the library's bookkeeping of offsets. Runs that may
-    hold special strings and texts with unusual characters go through the library as a whole.
+    Texts are lowered and taken together: Arrow numbers the distinct runs between white space and
+    trims the marks at their ends, which are a part of their own. So Python meets a word once in a
+    group, whatever its case and the marks behind it, and keeps its packed little-endian 32-bit ids
+    for later groups. New words are split as the tokenizer does it, and their parts go to the
+    tokenizer's own merges, without the library's bookkeeping of offsets. Runs that may hold special
+    strings and texts with unusual characters go through the library as a whole.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -88,11 +97,11 @@ class WordEncoder:
         self.plain = of_kind(self.tok, KIND)
         self.merge = self.tok.model.tokenize
         self.find = regex.compile(SPLIT).findall
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        odd = [b for b in range(256) if b not in set(plain)]
-        self.bytes = {b: 256 + k for k, b in enumerate(odd)}
+        odd = sorted({*range(256)} - {*range(33, 127), *range(161, 173), *range(174, 256)})
+        self.bytes = np.arange(256, dtype="<u4")
+        self.bytes[odd] = np.arange(256, 256 + len(odd))
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -100,52 +109,108 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, run: str) -> bytes:
-        if "<|" in run:
-            return self._packed(self.tok.encode(run, add_special_tokens=False).ids)
-        low, parts = run.lower(), self.parts
-        out = []
-        for part in [low] if low.isascii() and low.isalpha() else self.find(low):
-            ids = parts.get(part)
-            if ids is None:
-                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
-                ids = parts[part] = self._packed([t.id for t in self.merge(mapped)])
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of every text."""
         if not self.plain:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(text) <= WINDOW:
-            return self._encode(text)
-        parts, at = [], 0
+            return [self._library(text) for text in texts]
+        found: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[list[bytes], int, str]] = []
+        size = 0
+
+        def settle() -> None:
+            for (parts, at, _), raw in zip(group, self._group([some for _, _, some in group]), strict=True):
+                parts[at] = raw
+            group.clear()
+
+        for parts, text in zip(found, texts, strict=True):
+            for by_library, some in self._windows(text):
+                parts.append(self._library(some) if by_library else b"")
+                if not by_library:
+                    group.append((parts, len(parts) - 1, some.lower()))
+                    size += len(some) + 64
+                    if size >= GROUP:
+                        settle()
+                        size = 0
+        settle()
+        return [parts[0] if len(parts) == 1 else b"".join(parts) for parts in found]
+
+    @staticmethod
+    def _windows(text: str) -> Iterator[tuple[bool, str]]:
+        """A text in windows, and whether the library must encode them."""
+        at = 0
         while at < len(text):
-            gap = GAP.search(text, at + WINDOW)
+            gap = GAP.search(text, at + WINDOW) if len(text) - at > WINDOW else None
             end = gap.start() if gap else len(text)
-            parts.append(self._encode(text[at:end]))
+            some = text[at:end]
             at = end
-        return b"".join(parts)
-
-    def _encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._ids(w)
-        return b"".join(map(known.__getitem__, words))
+            if UNUSUAL.search(some):
+                yield True, some
+            elif "<|" in some:
+                for special, runs in itertools.groupby(some.split(), lambda run: "<|" in run):
+                    yield special, " ".join(runs)
+            else:
+                yield False, some
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of lowered texts of usual characters without special strings."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        if not len(words.values):
+            return [b""] * len(texts)
+        places, numbers = words.offsets.to_numpy(), words.values.dictionary_encode()
+        del words
+        runs = numbers.dictionary
+        trimmed = pc.utf8_rtrim(runs, MARKS)
+        cores = trimmed.dictionary_encode()
+        ids = pa.array(self._look_up(cores.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(cores.indices)
+        n_marks = pc.binary_length(runs).to_numpy() - pc.binary_length(trimmed).to_numpy()
+        at = np.flatnonzero(n_marks)
+        if len(at):
+            ends = np.frombuffer(runs.buffers()[1], np.int64)[at + 1]
+            raw = runs.buffers()[2].to_pybytes()
+            marks = [raw[a:b] for a, b in zip((ends - n_marks[at]).tolist(), ends.tolist(), strict=True)]
+            distinct = list(dict.fromkeys(marks))
+            by_marks = dict(zip(distinct, self._look_up([m.decode() for m in distinct]), strict=True))
+            last = [b""] * len(runs)
+            for k, m in zip(at.tolist(), marks, strict=True):
+                last[k] = by_marks[m]
+            ids = pc.binary_join_element_wise(ids, pa.array(last, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        _, offsets, data = ids.take(numbers.indices).buffers()
+        cuts = np.frombuffer(offsets, np.int64)[places].tolist()
+        whole = memoryview(data or b"")
+        return [bytes(whole[a:b]) for a, b in itertools.pairwise(cuts)]
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct lowered words."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = [w for w in words if w not in known]
+        if older:
+            back = [w for w in new if w in older]
+            known.update(zip(back, map(older.__getitem__, back), strict=True))
+            new = [w for w in new if w not in known]
+        split = {w: self.find(w) for w in new if not w.isalpha()}
+        parts = [w for w in new if w.isalpha()]
+        parts = list(dict.fromkeys(itertools.chain(parts, (p for found in split.values() for p in found if p not in known))))
+        for some in itertools.batched(parts, MERGED):
+            known.update(zip(some, self._merged(some), strict=True))
+        for w, found in split.items():
+            known[w] = b"".join([known[p] for p in found])
+        return list(map(known.__getitem__, words))
+
+    def _merged(self, parts: tuple[str, ...]) -> list[bytes]:
+        """Packed ids of parts, which hold no white space, by the tokenizer's merges."""
+        mapped = self.bytes[np.frombuffer("\n".join(parts).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        tokens = [self.merge(part) for part in mapped.split(chr(self.bytes[10]))]
+        raw = np.array([t.id for some in tokens for t in some], "<u4").tobytes()
+        cuts = itertools.accumulate([4 * len(some) for some in tokens], initial=0)
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -153,19 +218,31 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     end = np.array([end_id], "<u4").tobytes()
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
+    def made(encoder: WordEncoder, ids: list, texts: list[str]) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in range(6)]
+        for doc_id, raw in zip(ids, encoder.encode_all(texts), strict=True):
+            raw += end
+            total = len(raw) // 4
+            for start in range(0, total, capacity):
+                part = raw[4 * start : 4 * (start + capacity)]
+                for values, x in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), total, part if keep_ids else None), strict=True):
+                    values.append(x)
+        arrays = {c: pa.array(v, pa.int64()) for c, v in zip(columns, out, strict=False)}
+        return pa.RecordBatch.from_pydict(arrays | ({"ids": pa.array(out[5], pa.binary())} if keep_ids else {}))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(tokenizer_path)
+        ids, texts, size = [], [], 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = encoder.encode(text.as_py() or "") + end
-                total = len(raw) // 4
-                for start in range(0, total, capacity):
-                    part = raw[4 * start : 4 * (start + capacity)]
-                    for values, x in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), total, part if keep_ids else None), strict=True):
-                        values.append(x)
-            made = {c: pa.array(v, pa.int64()) for c, v in zip(columns, out, strict=False)}
-            yield pa.RecordBatch.from_pydict(made | ({"ids": pa.array(out[5], pa.binary())} if keep_ids else {}))
+                ids.append(doc_id)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1]) + 64
+                if size >= GROUP:
+                    yield made(encoder, ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield made(encoder, ids, texts)
         pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids

@@ -102,3 +102,33 @@ def test_repeated_rows_and_clashing_columns(spark, monkeypatch, crowd):
     df = spark.createDataFrame([(1, "one two", 5, "s", "x")] * 700 + [(2, "three", 1, "t", "y")], "doc_id long, text string, length int, _sub string, sequence_id string")
     rows = P.pack_documents(df, PATH).collect()
     check(rows, [(1, "one two")] * 700 + [(2, "three")])
+
+
+def test_many_texts_at_once_as_by_the_library(monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 300)
+    monkeypatch.setattr(P, "WINDOW", 90)
+    rng = random.Random(5)
+    runs = ["It's", "IT'S,", "x's.", "dogs'", "''s", "a»,", "«é»", "1½,", "ab12,.", "İ", "İ,", "i\u02c6", "Ⱥb!", "...", "_a_", "a\x07,", "a\x00", "\x85b,", "c\xa0d,\xa0", "e,\xa0", "<|endoftext|>", "x<|ENDOFTEXT|>,", "F <| g", "日本", "…", "don't!!", "'llama", "Straße", "ǅ-", "€5", "ª²"]
+    texts = ["", " ", "\n\n"] + ["".join(rng.choice(runs) + rng.choice([" ", "\n", "  ", "\t", ""]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    tok = Tokenizer.from_file(PATH)
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert P.WordEncoder(PATH).encode_all(texts) == want
+
+
+def test_every_usual_character_as_by_the_library():
+    tok, encoder = Tokenizer.from_file(PATH), P.WordEncoder(PATH)
+    usual = [c for c in map(chr, range(0x2100)) if not P.UNUSUAL.match(c)]
+    texts = [form.replace("@", c) for c in usual for form in ("@", "a@", "A@b", "a@,", "a,@", "1@'s", "é@!x", "@@ @")]
+    got = encoder.encode_all(texts)
+    assert [t for t, raw in zip(texts, got, strict=True) if raw != np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()] == []
+
+
+def test_common_words_outlive_the_rare_ones(monkeypatch):
+    """What takes the time is merging: a word that every text holds is merged once, however many rare ones pass by."""
+    monkeypatch.setattr(P, "CACHE_WORDS", 50)
+    encoder, seen = P.WordEncoder(PATH), []
+    merge = encoder.merge
+    encoder.merge = lambda part: seen.append(part) or merge(part)
+    for k in range(40):
+        encoder.encode(" ".join(["Everyday", "everyday,", *("rare" + "".join(chr(97 + int(d)) for d in f"{20 * k + i:04}") for i in range(20))]))
+    assert seen.count("everyday") == 1 and len(seen) == 40 * 20 + 2
