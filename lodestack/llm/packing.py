@@ -44,11 +44,11 @@ UNUSUAL = re.compile("[^\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]")
 WINDOW = 1 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Texts are encoded together up to so many characters.
-GROUP = 4 << 20
+GROUP = 2 << 20
 #: Parts whose tokens are Python objects at one time.
 MERGED = 4096
 #: Beyond this number of words a worker begins anew and forgets those that it has not met since it last did.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: The split of this kind of vocabulary, for text without white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Characters of usual texts, lowered, that are neither letters nor numbers nor white space; at the end of a run they are one part of SPLIT.
