@@ -145,16 +145,18 @@ def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 # threads -------------------------------------------------------------------------------------
 
 API = "https://talk.example"
+#: Threads have ids from here on, as a thread and a comment share the space of ids and parts are comments; a multiple of ten.
+FIRST_THREAD = 10**18
 
 
 def talk(part: DataFrame, search: str) -> DataFrame:
     """Answers (url, text) of a discussion site: even and odd parts are comments of two threads; a third thread is beyond the limit."""
     spark, key = part.sparkSession, F.col("p_partkey")
-    hits = ", ".join(f'{{"objectID": "{500000 + k}", "title": "{t}", "created_at_i": {1772323200 + k}}}' for k, t in enumerate(["Who is hiring? (A)", "Who is HIRING? (B)", "Who is hiring? (C)"]))
+    hits = ", ".join(f'{{"objectID": "{FIRST_THREAD + k}", "title": "{t}", "created_at_i": {1772323200 + k}}}' for k, t in enumerate(["Who is hiring? (A)", "Who is HIRING? (B)", "Who is hiring? (C)"]))
     first = spark.createDataFrame([(search, f'{{"hits": [{{"objectID": "9", "title": "Show"}}, {hits}]}}')], "url string, text string")
-    threads = part.groupBy((500000 + key % 2).alias("id")).agg(F.sort_array(F.collect_list(key)).alias("kids")).select(F.concat(F.lit(f"{API}/item/"), F.col("id").cast("string"), F.lit(".json")).alias("url"), F.to_json(F.struct("id", (F.lit(1772323200) + F.col("id") % 10).alias("time"), "kids")).alias("text"))
+    threads = part.groupBy((FIRST_THREAD + key % 2).alias("id")).agg(F.sort_array(F.collect_list(key)).alias("kids")).select(F.concat(F.lit(f"{API}/item/"), F.col("id").cast("string"), F.lit(".json")).alias("url"), F.to_json(F.struct("id", (F.lit(1772323200) + F.col("id") % 10).alias("time"), "kids")).alias("text"))
     said = F.format_string("<p>%s | %s</p><p>Location: Oslo</p>%s<p>Salary: USD %s</p><p>%s Python. Mail a@b.example.</p>", "p_brand", "p_name", F.when(key % 4 == 1, "<p>Remote</p>").otherwise(""), F.col("p_retailprice").cast("string"), F.when(key % 10 == 5, "We&#39;re not hiring.").otherwise("We use"))
-    comment = F.to_json(F.struct(key.alias("id"), (500000 + key % 2).alias("parent_id"), said.alias("text"), (key % 10 == 3).alias("deleted"), (key % 10 == 4).alias("dead")))
+    comment = F.to_json(F.struct(key.alias("id"), (FIRST_THREAD + key % 2).alias("parent_id"), said.alias("text"), (key % 10 == 3).alias("deleted"), (key % 10 == 4).alias("dead")))
     return first.union(threads).union(part.select(F.concat(F.lit(f"{API}/item/"), key.cast("string"), F.lit(".json")).alias("url"), comment.alias("text")))
 
 
