@@ -9,11 +9,13 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.functions.arrow import row_by_row
+
 # Lists and patterns that results depend on.
 CURRENCY_CODES = ["usd", "eur", "gbp", "cad", "aud", "inr", "chf", "sek", "nok", "dkk", "pln", "ils", "brl", "jpy"]
 CURRENCY_SYMBOLS = {"$": "USD", "£": "GBP", "€": "EUR", "₹": "INR"}
@@ -41,10 +43,12 @@ _SCRIPTS = re.compile(r"<(script|style)\b.*?</\1>", re.I | re.S)
 _MARK = "\ue000\uf8ff\ue000"
 
 
-@F.pandas_udf(T.StringType())
-def unescape(texts: pd.Series) -> pd.Series:
+def unescape(c: Column) -> Column:
     """HTML entities of the full table become characters."""
-    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+    return _unescape(c)
+
+
+_unescape = row_by_row(lambda t: html.unescape(t) if t is not None and "&" in t else t, T.StringType(), pa.string())
 
 
 def normalise_ws(c: Column) -> Column:
@@ -79,15 +83,13 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]+>", " ")
 
 
-@F.pandas_udf(T.StringType())
-def _lines(texts: pd.Series) -> pd.Series:
+def lines_of(stripped: str) -> str:
     """Entities decoded, then each line without scripts, decoded again and with its white space collapsed; empty lines go."""
+    cut = (_SCRIPTS.sub(" ", line) if "</" in line else line for line in html.unescape(stripped).splitlines())
+    return "\n".join(clean for line in cut if (clean := " ".join(html.unescape(line).split())))
 
-    def of(t: str) -> str:
-        cut = (_SCRIPTS.sub(" ", line) if "</" in line else line for line in html.unescape(t).splitlines())
-        return "\n".join(clean for line in cut if (clean := " ".join(html.unescape(line).split())))
 
-    return texts.map(of)
+_lines = row_by_row(lines_of, T.StringType(), pa.string())
 
 
 def html_to_text(c: Column) -> Column:

@@ -6,12 +6,13 @@ import html
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestack.functions import hashing, text
+from lodestack.functions.arrow import row_by_row
 from lodestack.functions.markup import Node, Selector, parse, squeeze
 from lodestack.functions.urls import join_url
 from lodestack.schemas import ITEM_COLUMNS, RECORD
@@ -19,6 +20,8 @@ from lodestack.session import spread
 from lodestack.sources.board_config import BoardConfig
 
 PAGE_RESULT = f"struct<details:array<struct<url:string,seed:{RECORD}>>,next:string,record:{RECORD},error:string>"
+_RECORD = pa.struct([("fields", pa.map_(pa.string(), pa.string())), ("lists", pa.map_(pa.string(), pa.list_(pa.string())))])
+_RESULT = pa.struct([("details", pa.list_(pa.struct([("url", pa.string()), ("seed", _RECORD)]))), ("next", pa.string()), ("record", _RECORD), ("error", pa.string())])
 _SCRIPTS = re.compile(r"<(script|style)\b.*?</\1>", re.I | re.S)
 
 
@@ -92,21 +95,12 @@ def parse_pages(kind: Column, markup: Column, base: Column, config: BoardConfig)
 
     Marked as not deterministic, so that no filter on what was found is pushed below it, which would parse every page again.
     """
-
-    def run(kinds: pd.Series, pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
-        rows = [parse_page(k, p, b, config) for k, p, b in zip(kinds, pages, bases, strict=True)]
-        return pd.DataFrame(rows, columns=["details", "next", "record", "error"], dtype=object)
-
-    return F.pandas_udf(run, PAGE_RESULT).asNondeterministic()(kind, markup, base)
+    return row_by_row(lambda k, p, b: parse_page(k, p, b, config), PAGE_RESULT, _RESULT, large=True).asNondeterministic()(kind, markup, base)
 
 
 def next_links(markup: Column, base: Column, config: BoardConfig) -> Column:
     """The link to the next page, if the page is read as an index page; null where there is none or the parser fails."""
-
-    def run(pages: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([parse_page("list", p, b, config)["next"] for p, b in zip(pages, bases, strict=True)], dtype=object)
-
-    return F.pandas_udf(run, "string").asNondeterministic()(markup, base)
+    return row_by_row(lambda p, b: parse_page("list", p, b, config)["next"], "string", pa.string(), large=True).asNondeterministic()(markup, base)
 
 
 def overlay(seed: Column, over: Column) -> Column:
@@ -122,15 +116,13 @@ def overlay_lists(seed: Column, over: Column) -> Column:
     return F.map_concat(F.map_filter(seed, lambda k, _: ~F.map_contains_key(over, k)), over)
 
 
-@F.pandas_udf(T.StringType())
-def _raw_json(fields: pd.Series, lists: pd.Series) -> pd.Series:
+def _as_json(fields: list | None, lists: list | None) -> str:
     """All that was extracted but the description, as JSON."""
+    values = {k: v for k, v in fields or [] if k != "description"} | dict(lists or [])
+    return json.dumps(values, ensure_ascii=False, sort_keys=True)
 
-    def one(f, m) -> str:
-        values = {k: v for k, v in (f or {}).items() if k != "description"} | {k: list(v) for k, v in (m or {}).items()}
-        return json.dumps(values, ensure_ascii=False, sort_keys=True)
 
-    return pd.Series([one(dict(f or {}), dict(m or {})) for f, m in zip(fields, lists, strict=True)], dtype=object)
+_raw_json = row_by_row(_as_json, T.StringType(), pa.string())
 
 
 def build_items(records: DataFrame, config: BoardConfig) -> DataFrame:

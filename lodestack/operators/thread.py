@@ -9,11 +9,12 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions import text
+from lodestack.functions.arrow import row_by_row
 from lodestack.functions.markup import parse, squeeze
 from lodestack.schemas import ITEM_COLUMNS
 
@@ -33,7 +34,8 @@ LOCATION_PREFIX = re.compile(r"(?:location|based in|office|locations?)\s*[:\-]\s
 REMOTE_MARKERS = {"remote", "fully remote", "work from home", "wfh", "distributed", "anywhere", "worldwide"}
 HEAD_LINES, META_LINES, LABEL_CHARS = 6, 4, 24
 
-POSTING = "struct<company:string,role:string,location:string,remote:boolean,employment_type:string,salary_text:string,body:string,links:array<string>>"
+PARTS = "struct<company:string,role:string,location:string,remote:boolean,employment_type:string,salary_text:string,body:string,links:array<string>,readable:string>"
+_ARROW = pa.struct([(f, {"remote": pa.bool_(), "links": pa.list_(pa.string())}.get(f, pa.string())) for f in ("company", "role", "location", "remote", "employment_type", "salary_text", "body", "links", "readable")])
 _INTERN = re.compile(text.INTERNSHIP, re.I)
 
 
@@ -85,15 +87,17 @@ def fold_comment(markup: str | None, readable: str | None) -> dict | None:
     }
 
 
-def _fold(markup: Column, readable: Column) -> Column:
-    names = ["company", "role", "location", "remote", "employment_type", "salary_text", "body", "links"]
+def _parts(markup: str | None, stripped: str) -> dict:
+    readable = text.lines_of(stripped)
+    return (fold_comment(markup, readable) or {}) | {"readable": readable}
 
-    @F.pandas_udf(POSTING)
-    def run(comments: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = [(fold_comment(m, r) or dict.fromkeys(names)) for m, r in zip(comments, texts, strict=True)]
-        return pd.DataFrame(rows, columns=names, dtype=object)
 
-    return run(markup, readable)
+def _fold(markup: Column) -> Column:
+    """PARTS of comments, with the text of html_to_text() as readable: one worker makes both.
+
+    Marked as not deterministic, so that a filter on what was found does not make it again.
+    """
+    return row_by_row(_parts, PARTS, _ARROW, large=True).asNondeterministic()(markup, text.strip_tags(markup))
 
 
 def parse_comments(comments: DataFrame, markup: str = "text", only_postings: bool = False) -> DataFrame:
@@ -102,8 +106,8 @@ def parse_comments(comments: DataFrame, markup: str = "text", only_postings: boo
     They are left out before anything is derived from them: a filter on posting itself would be
     pushed below all that makes it, with every expression written out.
     """
-    df = comments.withColumn("_readable", text.html_to_text(F.col(markup)))
-    df = df.withColumn("_f", _fold(F.col(markup), F.col("_readable")))
+    df = comments.withColumn("_f", _fold(F.col(markup)))
+    df = df.withColumn("_readable", F.col("_f.readable"))
     is_one = F.col("_f.company").isNotNull() & (F.col("_readable") != "") & text.is_posting(F.col("_readable"))
     df = df.withColumn("_is_one", is_one)
     if only_postings:
