@@ -6,10 +6,13 @@ import hashlib
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestack.functions.arrow import row_by_row
+
 #: What a listing's content is; its url, dates and raw fields are not.
 CONTENT = ["title", "company", "location", "remote", "employment_type", "salary_min", "salary_max", "salary_currency", "description", "tags"]
 _UNIT, _NULL = "\x1f", "\x00"
@@ -55,10 +58,8 @@ def content_hash_compat(items: pd.DataFrame) -> pd.Series:
     return pd.Series([one(row) for row in items.to_dict("records")], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def url_id(urls: pd.Series) -> pd.Series:
-    """Default external id: 12 bytes of BLAKE2b of the url, as hex."""
-    return urls.map(lambda u: None if u is None else hashlib.blake2b(u.encode(), digest_size=12).hexdigest())
+#: Default external id: 12 bytes of BLAKE2b of the url, as hex.
+url_id = row_by_row(lambda u: None if u is None else hashlib.blake2b(u.encode(), digest_size=12).hexdigest(), T.StringType(), pa.string())
 
 
 def search_text(title: Column, company: Column, location: Column, employment_type: Column, tags: Column, description: Column) -> Column:
